@@ -132,7 +132,7 @@ WITH d AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
 ), w AS (
   SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
     regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g') AS bare
   FROM d
 ), m AS (
