@@ -17,10 +17,12 @@ table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,9 @@ END = 0
 SHARD = 8192
 #: Emptiest bins that the local search tries to dissolve at a time, and its rounds.
 DONORS, ROUNDS = 32, 8
-CACHE = 300_000
+CACHE = 600_000
+#: Latin letters and marks after them: the tokenizer parts them, so each is encoded once.
+ENDED = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+)([.,;:!?*#$%&|]+)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -56,17 +60,25 @@ class Ids:
         if len(cache) + len(new) > CACHE:
             cache.clear()
             new = {w for words in texts for w in words}
-        words = [*new]
+        split = {w: m.groups() for w in new if (m := ENDED.fullmatch(w))}
+        plain = new.difference(split)
+        plain.update(x for pair in split.values() for x in pair if x not in cache)
+        words = [*plain]
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                ids = e.ids
+                cache[w] = pack(f"<{len(ids)}I", *ids)
+        for w, (body, tail) in split.items():
+            cache[w] = cache[body] + cache[tail]
 
     def batches(self, texts: list[bytes], most: int = 1 << 20) -> Iterator[bytes]:
-        """Ids of each text. White space parts the tokenizer's words, so runs between it are encoded apart."""
+        """Ids of each text. White space parts the tokenizer's words, so runs between it
+        are encoded apart; A-Z are lower-cased first, as the tokenizer does itself, but
+        for texts that may hold a special token."""
         group, size = [], 0
         for i, text in enumerate(texts):
-            group.append(text.split())
+            group.append((text if b"<|" in text else text.lower()).split())
             size += len(text)
             if size >= most or i == len(texts) - 1:
                 self.learn(group)
@@ -186,7 +198,7 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> li
     return bins
 
 
-def pack(lengths: list[int], capacity: int = LENGTH) -> list[list[int]]:
+def pack_lengths(lengths: list[int], capacity: int = LENGTH) -> list[list[int]]:
     full = [[i] for i, n in enumerate(lengths) if n == capacity]
     rest = [i for i, n in enumerate(lengths) if n < capacity]
     sizes = [lengths[i] for i in rest]
@@ -203,7 +215,7 @@ def place(parts: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFra
         lengths = group.column("length").to_pylist()
         base = group.column("__shard")[0].as_py() << 32
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-        for k, items in enumerate(pack(lengths, length)):
+        for k, items in enumerate(pack_lengths(lengths, length)):
             at = 0
             for i in items:
                 sequence[i], offset[i] = base + k, at
