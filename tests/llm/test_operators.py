@@ -106,7 +106,9 @@ def test_simhash_links_random_balls(spark):
         assert found == {s: min(g) for g in groups.values() if len(g) > 1 for s in g}
 
 
-def test_components_of_chains_and_hubs(spark):
+@pytest.mark.parametrize("local", [components.LOCAL, 20])
+def test_components_of_chains_and_hubs(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL", local)
     links = [(i, i + 1) for i in range(100, 160)] + [(7, i) for i in range(200, 260)] + [(3, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 161)} | {i: 7 for i in [7, *range(200, 260)]}
@@ -217,14 +219,25 @@ def test_packing_round_trip(docs, rows, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def test_ids_of_odd_texts():
+    from tokenizers import Tokenizer
+
+    path = tokens.public_path(packing.TOKENIZER)
+    tk, rnd = Tokenizer.from_file(path), random.Random(5)
+    odd = ["<|ENDOFTEXT|> A", "<|endoftext|>x.", "É é́. ñ, Ǆ! ÅÅ? don't. I'LL! ß; ſ. ×. ÷! ª. µ,", "\x1c \x1f a\x1cb", "ΑΣ ΣΑΣ. Σ", "K. ﬁ!"]
+    odd += ["".join(rnd.choice("aBÉé' th́ \n<|>é日\t.,!in \x1cΣ9Ȁ") for _ in range(rnd.randrange(60))) for _ in range(3000)]
+    for text, got in zip(odd, packing.ids_of(path).batches([x.encode() for x in odd])):
+        assert np.frombuffer(got, "<u4").tolist() == tk.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_local_search_never_worse_and_whole():
     rnd = random.Random(4)
     for sizes in ([400, 650, 700, 900, 1024], range(1, 2048), [2047, 1, 2], [2048]):
         lengths = [rnd.choice([*sizes]) for _ in range(500)]
-        best, packed = packing.best_fit([n for n in lengths if n < 2048], 2048), packing.pack(lengths)
+        best, packed = packing.best_fit([n for n in lengths if n < 2048], 2048), packing.pack_lengths(lengths)
         assert sorted(i for b in packed for i in b) == list(range(500)) and all(sum(lengths[i] for i in b) <= 2048 for b in packed)
         assert len(packed) <= len(best) + lengths.count(2048)
-    assert packing.pack([]) == []
+    assert packing.pack_lengths([]) == []
 
 
 def test_exchange_dissolves_a_bin():
@@ -380,6 +393,18 @@ def slow_distance(a, b):
     return row[-1]
 
 
+def test_line_simhash_equals_a_plain_count():
+    rnd = random.Random(9)
+    text = "\n".join(" ".join(rnd.choice("abcdefghij") * rnd.randrange(1, 90) for _ in range(rnd.choice([0, 1, 3, 200, 900]))) for _ in range(40))
+    numbers, _, fps = lines.line_hashes(text.encode())
+    for k, fp in zip(numbers, fps.view(np.uint64).tolist()):
+        hashes = [xxhash.xxh64_intdigest(w, 1) for w in set(lines.normalised(text.split("\n")[k].encode()).split())]
+        assert fp == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    sizes = np.array([1, 300, 5, 700, 255, 256])
+    many = np.random.default_rng(1).integers(0, 1 << 64, sizes.sum(), np.uint64)
+    assert (lines.simhashes(many, sizes, chunk=100) == lines.simhashes(many, sizes)).all()
+
+
 def test_edit_distance():
     rnd = random.Random(6)
     for _ in range(3000):
