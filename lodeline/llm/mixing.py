@@ -145,7 +145,8 @@ def plan(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
         .select("row", "source_no", "size", (F.col("start") + F.col("base")).alias("start"))
     )
     parts = placed.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
-    takes = parts.join(slots, ["source_no", "block"]).select(
+    # The slots come from a small local table, so their size is underestimated: never broadcast them.
+    takes = parts.join(slots.hint("merge"), ["source_no", "block"]).select(
         "row",
         "turn",
         F.greatest(F.lit(0), F.col("block") * block - F.col("start")).cast("long").alias("first"),
