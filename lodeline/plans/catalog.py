@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeline.functions import geo, text
-from lodeline.operators import chunks, ordering, retrieval, spatial
+from lodeline.operators import chunks, extraction, ordering, retrieval, spatial
 from lodeline.sources import readers
 from lodeline.streaming import ingest
 
@@ -455,6 +455,91 @@ def grid_routes(spark, sf_dir):
     return spatial.grid_paths(cells.select("leg_id", "x", "y", (1 + F.col("r") / 50).alias("multiplier"), ((F.col("r") < 25) & ~corner).alias("blocked")), legs)
 
 
+# Extraction: the test tables' prose is invented, so the queries pass cue words of their own
+
+_SENTENCES = r"SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]+(?:[.!?]+|\z)')) AS sentence FROM documents"
+_SEA, _LAND, _UNASSERTED = "hand|thing", "clown|worthless|inen", "the|of"
+_TOLD = (("PREVENTED", r"(?:hand|thing)\b"), ("PLANNED", r"(?:of|the)\s+[a-z]+er\b"), ("NEGATED", r"(?:inen|eration)\b"))
+
+
+def _sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("sentence"))
+
+
+@query(rf"""WITH s AS ({_SENTENCES}), a AS (SELECT doc_id, regexp_replace(sentence, '(?i)\b(?:{_UNASSERTED})\s+(?:{_SEA}|{_LAND})\b', ' ', 'g') AS t FROM s),
+f AS (SELECT doc_id, regexp_matches(t, '(?i)\b(?:{_SEA})\b') AS wet, regexp_matches(t, '(?i)\b(?:{_LAND})\b') AS dry FROM a)
+SELECT doc_id, CASE WHEN wet AND NOT dry THEN 'SEA' WHEN dry AND NOT wet THEN 'LAND' ELSE 'UNKNOWN' END AS mode, count(*) AS n FROM f GROUP BY ALL""")
+def travel_modes(spark, sf_dir):
+    mode = extraction.travel_mode(F.col("sentence"), _SEA, _LAND, _UNASSERTED)
+    return _sentences(spark, sf_dir).groupBy("doc_id", mode.alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(rf"""WITH s AS ({_SENTENCES}), f AS (SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(sentence, '(?i){chr(92)}b{p}') THEN '{n}'" for n, p in _TOLD)} END AS outcome
+FROM s WHERE regexp_matches(sentence, '(?i)\b(?:[a-z]+ing|der)\b') AND NOT regexp_matches(sentence, '(?i)\b(?:clown)\b'))
+SELECT doc_id, outcome, count(*) AS n FROM f WHERE outcome IS NOT NULL GROUP BY ALL""")
+def movement_outcomes(spark, sf_dir):
+    told = extraction.outcome(F.col("sentence"), "[a-z]+ing|der", "clown", _TOLD)
+    return _sentences(spark, sf_dir).select("doc_id", told.alias("outcome")).where("outcome is not null").groupBy("doc_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NAMED = r"(?:^|[^A-Za-z])({prepositions})\s+([A-Za-z]+)"
+_CUES, _CUE_ROLES = "the|of|de|der", {"the": "ORIGIN", "of": "DESTINATION"}
+_MENTIONS = f"""SELECT doc_id, i - 1 AS ordinal, p[i] AS place, CASE lower(w[i]) WHEN 'the' THEN 'ORIGIN' WHEN 'of' THEN 'DESTINATION' ELSE 'RELATED_PLACE' END AS role
+FROM (SELECT doc_id, regexp_extract_all(text, '{_NAMED.format(prepositions=_CUES)}', 1) AS w, regexp_extract_all(text, '{_NAMED.format(prepositions=_CUES)}', 2) AS p FROM documents), unnest(range(1, len(p) + 1)) AS u(i)"""
+
+
+@query(f"SELECT doc_id, place, CAST(min(ordinal) AS INTEGER) AS first, count(*) AS n, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM ({_MENTIONS}) GROUP BY doc_id, place")
+def place_inventory(spark, sf_dir):
+    found = extraction.place_mentions(table(spark, sf_dir, "documents"), "doc_id", "text", _CUES, _CUE_ROLES, _NAMED)
+    return extraction.mention_inventory(found, "doc_id")
+
+
+@query("""WITH d AS (SELECT conv_id, turn, text, nullif(regexp_extract(text, '[A-Za-z]+', 0), '') AS destination FROM conversations),
+o AS (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[?]') THEN lag(destination) OVER (PARTITION BY conv_id ORDER BY turn) END AS origin FROM d)
+SELECT conv_id, turn, origin FROM o WHERE origin IS NOT NULL""")
+def turn_continuation(spark, sf_dir):
+    """After a cue the first word of the turn before is carried on."""
+    named = table(spark, sf_dir, "conversations").withColumn("destination", F.nullif(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("")))
+    return extraction.continuation(named, "conv_id", "turn", "destination", F.col("text").rlike("[?]")).where("origin is not null").select("conv_id", "turn", "origin")
+
+
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_returnflag) AS p, count(DISTINCT l_linestatus) AS d, count(DISTINCT l_linenumber) AS q, string_agg(CAST(l_partkey AS VARCHAR), '>' ORDER BY l_linenumber, l_partkey) AS steps FROM lineitem GROUP BY 1)
+SELECT l_orderkey, CASE WHEN p > 1 THEN 'PERIOD_CONFLICT' WHEN d > 1 THEN 'DESCRIPTION_CONFLICT' WHEN q < n THEN 'SEQUENCE_CONFLICT' ELSE 'OK' END AS status, n, CASE WHEN p = 1 AND d = 1 AND q = n THEN steps END AS steps FROM g""")
+def declared_orders(spark, sf_dir):
+    return extraction.declared_events(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey")
+
+
+@query("""WITH w AS (SELECT DISTINCT conv_id, role, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS phrase FROM conversations)
+SELECT conv_id, phrase FROM w WHERE role = 'assistant' EXCEPT SELECT conv_id, phrase FROM w WHERE role <> 'assistant'""")
+def unsupported_phrases(spark, sf_dir):
+    words = table(spark, sf_dir, "conversations").select("conv_id", "role", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), 0)).alias("phrase"))
+    return extraction.unsupported(words.where("role = 'assistant'"), words.where("role <> 'assistant'"), ["conv_id", "phrase"])
+
+
+@query(f"""WITH l AS (SELECT o_custkey AS place, CASE WHEN o_orderkey % 7 > 0 THEN o_custkey % 50 + o_orderkey % 2 END AS lon, o_orderkey % 5 = 0 AS representative FROM orders),
+g AS (SELECT place, count(DISTINCT lon) AS points, coalesce(bool_or(representative) FILTER (lon IS NOT NULL), false) AS any_rep FROM l GROUP BY place)
+SELECT place, points, CASE WHEN points = 0 THEN 'NON_POINT_GEOMETRY' WHEN points >= 3 THEN 'MULTI_LOCATION_CONFLICT' WHEN any_rep THEN 'REPRESENTATIVE_ONLY' WHEN points >= 2 THEN 'MULTI_LOCATION_CONFLICT' ELSE 'SOURCE_POINT_UNCERTAIN' END AS authority FROM g""")
+def coordinate_authority(spark, sf_dir):
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("place"), F.when(key % 7 > 0, F.col("o_custkey") % 50 + key % 2).alias("lon"), F.lit(0).alias("lat"), (key % 5 == 0).alias("representative"))
+    return extraction.authority_class(rows, "place")
+
+
+_CORNERS = ((0, 0), (40, 0), (20, 30))
+
+
+@query(f"""WITH c AS {_points_sql('nation', 'n_nationkey')}, e AS ({' UNION ALL '.join(f"SELECT id AS polygon_id, lon + {a} AS x1, lat + {b} AS y1, lon + {x} AS x2, lat + {y} AS y2 FROM c" for (a, b), (x, y) in zip(_CORNERS, (*_CORNERS[1:], _CORNERS[0]), strict=True))}),
+t AS (SELECT p.id AS point_id, polygon_id, (x2 - x1) * (lat - y1) = (y2 - y1) * (lon - x1) AND lon BETWEEN least(x1, x2) AND greatest(x1, x2) AND lat BETWEEN least(y1, y2) AND greatest(y1, y2) AS edge,
+CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 THEN 1 ELSE 0 END AS crossing FROM {_points_sql('customer', 'c_custkey')} p, e)
+SELECT point_id, polygon_id, CASE WHEN bool_or(edge) THEN 'boundary' ELSE 'interior' END AS relation FROM t GROUP BY ALL HAVING bool_or(edge) OR sum(crossing) % 2 = 1""")
+def points_in_polygons(spark, sf_dir):
+    """Customers within a triangle for each nation."""
+    centre = _points(spark, sf_dir, "nation", "n_nationkey")
+    sides = F.array(*[F.struct(*[(F.col(c) + d).alias(n) for c, d, n in (("lon", a, "x1"), ("lat", b, "y1"), ("lon", x, "x2"), ("lat", y, "y2"))]) for (a, b), (x, y) in zip(_CORNERS, (*_CORNERS[1:], _CORNERS[0]), strict=True)])
+    edges = centre.select(F.col("id").alias("polygon_id"), F.explode(sides).alias("e")).select("polygon_id", "e.*")
+    return spatial.point_in_polygon(_points(spark, sf_dir, "customer", "c_custkey"), edges)
+
+
 # Streams (the windows are an extension)
 
 
