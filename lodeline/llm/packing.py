@@ -39,8 +39,12 @@ SHARD = 8192
 #: Emptiest bins that the local search tries to dissolve at a time, and its rounds.
 DONORS, ROUNDS = 32, 8
 CACHE = 600_000
+#: How the vocabulary marks a token that ends a word.
+WORD_END = "</w>"
 #: Latin letters and marks after them: the tokenizer parts them, so each is encoded once.
-ENDED = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+)([.,;:!?*#$%&|]+)")
+LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+"
+ENDED = re.compile(rb"(" + LETTERS + rb")([.,;:!?*#$%&|]+)")
+WORD = re.compile(LETTERS)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -53,22 +57,50 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        #: Cached words that a later group of texts held too: these outlive a full cache.
+        self.again: set[bytes] = set()
+        #: Whether an id ends a word, by id; empty if the vocabulary doesn't mark ends.
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(WORD_END)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, encoded apart."""
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [pack(f"<{len(e.ids)}I", *e.ids) for e in found]
+
+    def encode_letters(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of letters alone: each is one word to the tokenizer, so many
+        are encoded as one text and parted at the ids that end a word. Each has at least
+        one such id, so if there are as many as words, they part the words rightly."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(stops) != len(words) or stops[-1] != 4 * len(ids):
+            return self.encode(words)
+        data = ids.tobytes()
+        stops = stops.tolist()
+        return [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
     def learn(self, texts: list[list[bytes]]) -> None:
         cache = self.cache
-        new = {w for words in texts for w in words}.difference(cache)
+        held = set().union(*texts)
+        new = held.difference(cache)
+        self.again.update(held - new)
         if len(cache) + len(new) > CACHE:
+            keep = {w: cache[w] for w in self.again} if len(self.again) < CACHE // 2 else {}
             cache.clear()
-            new = {w for words in texts for w in words}
-        split = {w: m.groups() for w in new if (m := ENDED.fullmatch(w))}
+            cache.update(keep)
+            self.again.clear()
+            new = held.difference(cache)
+        split = {w: m.groups() for w in new if not w.isalpha() and (m := ENDED.fullmatch(w))}
         plain = new.difference(split)
         plain.update(x for pair in split.values() for x in pair if x not in cache)
-        words = [*plain]
-        for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                ids = e.ids
-                cache[w] = pack(f"<{len(ids)}I", *ids)
+        letters = [w for w in plain if w.isalpha() or WORD.fullmatch(w)]
+        others = [*plain.difference(letters)]
+        for words, encode in ((letters, self.encode_letters), (others, self.encode)):
+            for at in range(0, len(words), 4096):
+                some = words[at : at + 4096]
+                cache.update(zip(some, encode(some), strict=True))
         for w, (body, tail) in split.items():
             cache[w] = cache[body] + cache[tail]
 
