@@ -29,6 +29,67 @@ MODAL = r"if|might|would|could|may|should"
 ROLES = {"at": "EVENT_SITE", "from": "ORIGIN", "to": "DESTINATION", "into": "DESTINATION"}
 MENTION = r"(?:^|[^A-Za-z])({prepositions})\s+([A-Z][a-z]+)"
 
+# Verbs of movement, where clauses part, and auxiliaries that a negation may follow.
+VERBS = r"marched|marches|marching|march|advanced|proceeded|moved|travelled|traveled|departed|arrived|entered|crossed|withdrew|retreated|fled|left|leaving|reached|came|passed|sailed|embarked|landed|went|returned|repassed|travel|escaped|descended|made\s+(?:his|her|their)\s+way"
+#: Any case, and letters beyond ASCII are letters of words too.
+ANY = "(?iU)"
+CLAUSES = r"[,;]|\bbut\b|\band\b"
+AUXILIARIES = "did|does|do|had|has|have|was|were|is|are|could|would|should|might|may"
+
+# Cues that leave a movement open, unasserted or prevented, before its verb.
+OPEN = r"would|could|might|should|may|planned\s+to|intended\s+to|wanted\s+to|hoped\s+to|feared\s+(?:that|lest)|if|discussed|debated|considered|contemplated|(?:prevented|stopped|blocked|forbidden|barred|hindered)(?:\s+\w+){0,8}\s+from"
+
+# A retrospective reference, and the kinds of events in order of preference.
+RETROSPECTIVE = r"\b(?:after|following|because of|since)\s+(?:the\s+)?(?:battle|defeat|death|murder|assassination)\b[^,;:.]*[,;:]?\s*"
+KINDS = (
+    ("ASSASSINATION", r"assassinated|assassination|murdered"),
+    ("REFORM", r"reform(?:ed)?|reformers?|land law|legislation|proposed a law"),
+    ("BATTLE", r"battle|fought at|defeated .* at"),
+    ("SIEGE", r"siege|besieged"),
+    ("TREATY", r"treaty|peace agreement|concluded peace"),
+    ("ELECTION", r"elected|election|chosen as"),
+    ("REBELLION", r"rebellion|revolt(?:ed)?|uprising|insurrection"),
+    ("MOVEMENT", None),
+    ("MILITARY", r"campaign|army|war|invaded|conquered|captured"),
+    ("POLITICAL", r"senate .*\bdecree|tribune .*\b(?:proposed|elected|opposed)|consul .*\b(?:appointed|elected|sent)|assembly .*\b(?:elected|passed)|issued a decree"),
+)
+
+
+def negated(verbs: str = VERBS) -> str:
+    """A pattern for a negation and the last verb among the four words after it; "not"
+    reaches so far only after an auxiliary, else the next word alone."""
+    reach = r"(?:[^\w']+[\w']+){0,3}[^\w']+"
+    return rf"(?:(?:\bnever|\bno\s+longer|\w+n't|\b(?:{AUXILIARIES})\s+not){reach}|\bnot\s+)(?:{verbs})\b"
+
+
+def moves(sentence: Column, verbs: str = VERBS, completed: bool = False, opened: str = OPEN) -> Column:
+    """Whether a clause asserts a movement that no negation governs; with completed, also
+    without a cue before its verb that leaves it open. Null sentences assert none."""
+
+    def holds(clause: Column) -> Column:
+        found = F.regexp_replace(clause, ANY + negated(verbs), " ").rlike(rf"{ANY}\b(?:{verbs})\b")
+        return found & ~clause.rlike(rf"{ANY}\b(?:{opened})\b.*\b(?:{verbs})\b") if completed else found
+
+    return F.coalesce(F.exists(F.split(sentence, ANY + CLAUSES), holds), F.lit(False))
+
+
+def event_kind(sentence: Column, kinds=KINDS, retrospective: str = RETROSPECTIVE, verbs: str = VERBS) -> Column:
+    """The first kind that the sentence shows without its retrospective reference; a kind
+    without a pattern needs an asserted movement. UNKNOWN if there is none."""
+    main = F.regexp_replace(sentence, ANY + retrospective, "")
+    found = F.lit("UNKNOWN")
+    for name, pattern in reversed(kinds):
+        shown = moves(main, verbs) if pattern is None else main.rlike(rf"{ANY}\b(?:{pattern})\b")
+        found = F.when(shown, name).otherwise(found)
+    return found
+
+
+def transition(port: Column, before: Column, after: Column, by_land: Column, by_sea: Column, evidence: Column) -> Column:
+    """Whether a route may change its mode at a port: DENIED without a port, a change or
+    access both ways, ALLOWED on confirmed or supported evidence, else UNKNOWN."""
+    denied = port.isNull() | before.eqNullSafe(after) | ~F.coalesce(by_land & by_sea, F.lit(False))
+    return F.when(denied, "DENIED").when(evidence.isin("CONFIRMED", "SUPPORTED"), "ALLOWED").otherwise("UNKNOWN")
+
 
 def travel_mode(sentence: Column, sea: str = SEA, land: str = LAND, unasserted: str = UNASSERTED) -> Column:
     """SEA or LAND if cues of exactly one are asserted, else UNKNOWN."""

@@ -534,10 +534,60 @@ CASE WHEN (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1)
 SELECT point_id, polygon_id, CASE WHEN bool_or(edge) THEN 'boundary' ELSE 'interior' END AS relation FROM t GROUP BY ALL HAVING bool_or(edge) OR sum(crossing) % 2 = 1""")
 def points_in_polygons(spark, sf_dir):
     """Customers within a triangle for each nation."""
+    return spatial.point_in_polygon(_points(spark, sf_dir, "customer", "c_custkey"), _triangles(spark, sf_dir))
+
+
+_TURNS = "[a-z]+ing|der|que"
+_KINDS = (("CLOWN", "clown|worthless"), ("MOVEMENT", None), ("THING", "thing|hand"))
+_BACK = r"\b(?:of|de)\s+(?:the|la)\b[^,;:.]*[,;:]?\s*"
+_OPENED = "that|les|would"
+
+
+def _moves_sql(sentence, more=""):
+    return rf"len(list_filter(regexp_split_to_array({sentence}, '(?i){extraction.CLAUSES}'), lambda c: regexp_matches(regexp_replace(c, '(?i){extraction.negated(_TURNS).replace(chr(39), chr(39) * 2)}', ' ', 'g'), '(?i)\b(?:{_TURNS})\b'){more})) > 0"
+
+
+# In the SQL, whose word characters are ASCII alone, letters beyond ASCII become "_".
+@query(rf"""WITH s AS (SELECT doc_id, regexp_replace(sentence, '[^\P{{L}}A-Za-z]', '_', 'g') AS sentence FROM ({_SENTENCES})), m AS (SELECT doc_id, sentence, regexp_replace(sentence, '(?i){_BACK}', '', 'g') AS main FROM s)
+SELECT doc_id, CASE WHEN regexp_matches(main, '(?i)\b(?:clown|worthless)\b') THEN 'CLOWN' WHEN {_moves_sql('main')} THEN 'MOVEMENT' WHEN regexp_matches(main, '(?i)\b(?:thing|hand)\b') THEN 'THING' ELSE 'UNKNOWN' END AS kind,
+count(*) AS n, count(*) FILTER ({_moves_sql('sentence', rf" AND NOT regexp_matches(c, '(?i)\b(?:{_OPENED})\b.*\b(?:{_TURNS})\b')")}) AS completed FROM m GROUP BY ALL""")
+def event_kinds(spark, sf_dir):
+    """Sentences by kind, and how many of them assert a completed movement."""
+    sentence = F.col("sentence")
+    kind, done = extraction.event_kind(sentence, _KINDS, _BACK, _TURNS), extraction.moves(sentence, _TURNS, True, _OPENED)
+    return _sentences(spark, sf_dir).groupBy("doc_id", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(done).alias("completed"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey IS NULL OR l_returnflag = l_linestatus OR l_partkey % 5 = 0 OR l_partkey % 7 = 0 THEN 'DENIED' WHEN l_linenumber <= 3 THEN 'ALLOWED' ELSE 'UNKNOWN' END AS eligibility FROM lineitem""")
+def mode_transitions(spark, sf_dir):
+    part, evidence = F.col("l_partkey"), F.when(F.col("l_linenumber") <= 3, "SUPPORTED").otherwise("NONE")
+    allowed = extraction.transition(F.col("l_suppkey"), F.col("l_returnflag"), F.col("l_linestatus"), part % 5 > 0, part % 7 > 0, evidence)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", allowed.alias("eligibility"))
+
+
+def _triangles(spark, sf_dir):
     centre = _points(spark, sf_dir, "nation", "n_nationkey")
     sides = F.array(*[F.struct(*[(F.col(c) + d).alias(n) for c, d, n in (("lon", a, "x1"), ("lat", b, "y1"), ("lon", x, "x2"), ("lat", y, "y2"))]) for (a, b), (x, y) in zip(_CORNERS, (*_CORNERS[1:], _CORNERS[0]), strict=True)])
-    edges = centre.select(F.col("id").alias("polygon_id"), F.explode(sides).alias("e")).select("polygon_id", "e.*")
-    return spatial.point_in_polygon(_points(spark, sf_dir, "customer", "c_custkey"), edges)
+    return centre.select(F.col("id").alias("polygon_id"), F.explode(sides).alias("e")).select("polygon_id", "e.*")
+
+
+@query(f"""WITH c AS {_points_sql('nation', 'n_nationkey')}, e AS ({' UNION ALL '.join(f"SELECT lon + {a} AS x1, lat + {b} AS y1, lon + {x} AS x2, lat + {y} AS y2 FROM c" for (a, b), (x, y) in zip(_CORNERS, (*_CORNERS[1:], _CORNERS[0]), strict=True))}),
+s AS (SELECT id, lon AS sx1, lat AS sy1, lon + 3 AS sx2, lat + 2 AS sy2 FROM {_points_sql('customer', 'c_custkey')} p),
+t AS (SELECT id, sign((x2 - x1) * (sy1 - y1) - (y2 - y1) * (sx1 - x1)) * sign((x2 - x1) * (sy2 - y1) - (y2 - y1) * (sx2 - x1)) AS a,
+sign((sx2 - sx1) * (y1 - sy1) - (sy2 - sy1) * (x1 - sx1)) * sign((sx2 - sx1) * (y2 - sy1) - (sy2 - sy1) * (x2 - sx1)) AS b FROM s, e
+WHERE greatest(sx1, sx2) >= least(x1, x2) AND greatest(x1, x2) >= least(sx1, sx2) AND greatest(sy1, sy2) >= least(y1, y2) AND greatest(y1, y2) >= least(sy1, sy2))
+SELECT id AS segment_id, CASE WHEN bool_or(a < 0 AND b < 0) THEN 'land_intersection' ELSE 'boundary_ambiguous' END AS relation FROM t WHERE a <= 0 AND b <= 0 GROUP BY id""")
+def segments_on_land(spark, sf_dir):
+    """A short segment from each customer against the sides of the nations' triangles."""
+    from_there = _points(spark, sf_dir, "customer", "c_custkey").select("id", F.col("lon").alias("x1"), F.col("lat").alias("y1"), (F.col("lon") + 3).alias("x2"), (F.col("lat") + 2).alias("y2"))
+    return spatial.segments_by_polygon(from_there, _triangles(spark, sf_dir))
+
+
+@query()
+def sea_legs(spark, sf_dir):
+    """A leg from each supplier past the nations' triangles, sampled every 50 km."""
+    legs = _points(spark, sf_dir, "supplier", "s_suppkey").select("id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), (F.col("lon") * 0.9).alias("lon2"), (F.col("lat") * 0.8).alias("lat2"))
+    return spatial.sea_legs(legs, _triangles(spark, sf_dir), 50_000.0)
 
 
 # Streams (the windows are an extension)

@@ -66,3 +66,48 @@ def test_polygons(spark):
     want |= {(i, 0, "boundary") for i in range(1000, 1005)} | {(1002, 1, "interior") for _ in "x" if inside(0.0, 0.0, rings[1])} | {(i, 1, "interior") for i, x, y in points[300:] if inside(x, y, rings[1])}
     got = spatial.point_in_polygon(spark.createDataFrame(points, "id long, lon double, lat double"), spark.createDataFrame(edges, "polygon_id long, x1 double, y1 double, x2 double, y2 double"))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_movement_polarity_and_kinds(spark):
+    cases = [
+        ("He marched to Rome.", True, True, "MOVEMENT"),
+        ("He did not at once march.", False, False, "UNKNOWN"),
+        ("He never marched, but sailed.", True, True, "MOVEMENT"),
+        ("He would have marched.", True, False, "MOVEMENT"),
+        ("They prevented him from having crossed it.", True, False, "MOVEMENT"),
+        ("After the battle of Cannae, they concluded peace.", False, False, "TREATY"),
+        ("The army didn't go and no longer advanced.", False, False, "MILITARY"),
+        ("He besieged the town, then left.", True, True, "SIEGE"),
+        ("", False, False, "UNKNOWN"),
+        (None, False, False, "UNKNOWN"),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, s string")
+    s = F.col("s")
+    got = df.select("i", extraction.moves(s), extraction.moves(s, completed=True), extraction.event_kind(s)).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [c[1:] for c in cases]
+
+
+def test_transitions(spark):
+    rows = [("p", "LAND", "SEA", True, True, "CONFIRMED"), ("p", "LAND", "SEA", True, True, None), ("p", "SEA", "SEA", True, True, "SUPPORTED"), (None, "LAND", "SEA", True, True, "SUPPORTED"), ("p", "LAND", "SEA", None, True, "SUPPORTED")]
+    df = spark.createDataFrame(rows, "port string, a string, b string, land boolean, sea boolean, e string")
+    assert [r[0] for r in df.select(extraction.transition(*[F.col(c) for c in df.columns])).collect()] == ["ALLOWED", "UNKNOWN", "DENIED", "DENIED", "DENIED"]
+
+
+def test_sea_legs(spark):
+    corners = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    land = spark.createDataFrame([(1, *a, *b) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)], "polygon_id int, x1 double, y1 double, x2 double, y2 double")
+    legs = [
+        (1, -5.0, 5.0, -5.0, 9.0, "direct_water_validated"),
+        (2, -5.0, 5.0, 15.0, 5.0, "sample_not_ocean_interior"),
+        (3, 5.0, 5.0, 15.0, 5.0, "endpoint_not_ocean_interior"),
+        (4, -5.0, 5.0, -5.0, 5.0, "zero_length_leg"),
+        (5, None, 5.0, -5.0, 5.0, "invalid_coordinate"),
+        (6, -0.012, 9.985, 0.01, 10.007, "land_intersection"),
+        (7, 179.0, 40.0, -179.0, 40.0, "direct_water_validated"),
+        (8, -5.0, 95.0, -5.0, 5.0, "invalid_coordinate"),
+    ]
+    df = spark.createDataFrame([r[:5] for r in legs], "id int, lon1 double, lat1 double, lon2 double, lat2 double")
+    got = {r.id: r for r in spatial.sea_legs(df, land).collect()}
+    assert {i: r.reason for i, r in got.items()} == {r[0]: r[5] for r in legs}
+    assert 444_000 < got[1].metres < 446_000 and got[1].samples == 90 and got[2].samples < 120
+    assert {r.reason for r in spatial.sea_legs(df, land.limit(0)).collect()} == {"direct_water_validated", "zero_length_leg", "invalid_coordinate"}
