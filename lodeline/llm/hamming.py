@@ -12,6 +12,7 @@ Memory is one run of 8-byte values.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -143,8 +144,6 @@ def ball_keys(fp, radius: int):
 def pigeonhole_keys(fp, radius: int, blocks: int):
     """Keys of all sets of `blocks - radius` blocks: two fingerprints within
     `radius` bits agree on at least one such set, bit for bit."""
-    from itertools import combinations
-
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     part = lambda i: F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long"))
     keys = []
@@ -157,3 +156,109 @@ def pigeonhole_keys(fp, radius: int, blocks: int):
             raise ValueError("too few blocks to skip: the key would not fit 64 bits")
         keys.append(key)
     return F.explode(F.array(*keys))
+
+
+#: Fingerprints of a bucket in packed_links(), on average, and those that a task deals out at a time.
+BUCKET, DEAL = 250_000, 1 << 17
+#: Runs up to this size are searched lag by lag, longer ones in rectangles of at most CELLS pairs.
+MEDIUM, CELLS = 64, 1 << 17
+
+
+def block_keys(values: np.ndarray, chosen: tuple[int, ...], blocks: int) -> np.ndarray:
+    """The chosen ones of equal blocks of bits, side by side."""
+    edges, key = [round(64 * i / blocks) for i in range(blocks + 1)], np.zeros(len(values), np.uint64)
+    for i in chosen:
+        width = edges[i + 1] - edges[i]
+        key = key << np.uint64(width) | values >> np.uint64(edges[i]) & np.uint64((1 << width) - 1)
+    return key
+
+
+def has_near(keys: np.ndarray, values: np.ndarray, radius: int) -> np.ndarray:
+    """Whether another value of the run of equal keys is within the radius."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[starts, len(keys)])
+    size_of, found = np.repeat(sizes, sizes), np.zeros(len(keys), bool)
+    at = np.flatnonzero((size_of > 1) & (size_of <= MEDIUM))
+    k, v, lag = keys[at], values[at], 1
+    while len(at) > lag:
+        i = np.flatnonzero((k[lag:] == k[:-lag]) & (np.bitwise_count(v[lag:] ^ v[:-lag]) <= radius))
+        found[at[i]] = found[at[i + lag]] = True
+        lag += 1
+        if lag % 8 == 0:
+            more = size_of[at] > lag
+            at, k, v = at[more], k[more], v[more]
+    long = sizes > MEDIUM
+    for start, n in zip(starts[long], sizes[long], strict=True):
+        part, step = values[start : start + n], max(1, CELLS // n)
+        for i in range(0, n, step):
+            near = np.bitwise_count(part[i : i + step, None] ^ part) <= radius
+            found[start + i : start + min(i + step, n)] = np.count_nonzero(near, axis=1) > 1
+    return found
+
+
+def _deal(radius: int, blocks: int, per: int):
+    def emit(held):
+        values = np.concatenate(held)
+        for number, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+            bucket = (block_keys(values, chosen, blocks) % np.uint64(per)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            sizes = np.bincount(bucket, minlength=per)
+            ends = np.cumsum(sizes)
+            some = np.flatnonzero(sizes)
+            dealt = values[order]
+            blobs = [dealt[ends[b] - sizes[b] : ends[b]].tobytes() for b in some]
+            yield pa.RecordBatch.from_arrays([pa.array(number * per + some), pa.array(blobs, pa.binary())], names=["bucket", "fps"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch.column(0).to_numpy().view(np.uint64))
+            n += batch.num_rows
+            if n >= DEAL:
+                yield from emit(held)
+                held, n = [], 0
+        if n:
+            yield from emit(held)
+
+    return run
+
+
+def _packed(radius: int, blocks: int, per: int):
+    sets = [*combinations(range(blocks), blocks - radius)]
+
+    def emit(bucket: int, held: list[bytes]):
+        values = np.frombuffer(b"".join(held), np.uint64)
+        keys = block_keys(values, sets[bucket // per], blocks)
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        near = has_near(keys, values, radius)
+        if near.any():
+            values = values[near]
+            a, b = run_links(keys[near], values, radius)
+            a, b = values[a].view(np.int64), values[b].view(np.int64)
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for bucket, fps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket != now and held:
+                    yield from emit(now, held)
+                    held = []
+                now = bucket
+                held.append(fps)
+        if held:
+            yield from emit(now, held)
+
+    return run
+
+
+def packed_links(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Distinct links (a, b) between the values of the single column of fps, which may
+    repeat: those of spanning forests on the pigeonhole keys. Of two rows with one value
+    a link to itself or links to others result. Tasks deal 8 bytes a value and key, in
+    packets, and only values with another one near them in a run reach the forests."""
+    per = max(1, -(-fps.count() // BUCKET))
+    dealt = fps.mapInArrow(_deal(radius, blocks, per), "bucket long, fps binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_packed(radius, blocks, per), LINKS).distinct()

@@ -436,6 +436,33 @@ def test_lines_equal_brute_force(make_docs):
         assert r.text == want and r.n_chars == len(want)
 
 
+def test_lines_with_one_edit_by_edit_similarity_alone(make_docs):
+    rnd = random.Random(3)
+    pairs = []
+    for _ in range(150):
+        ws = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) for _ in range(rnd.randrange(50, 100))]
+        other = [*ws]
+        other[rnd.randrange(len(ws))] += "x"
+        pairs.append((" ".join(ws), " ".join(other)))
+    texts = [t for pair in pairs for t in pair]
+    assert all(lines.similar(a, b) for a, b in pairs)
+    left = sum(bool(r.text) for r in lines.dedup_lines(make_docs([(i, t, "s") for i, t in enumerate(texts)])).collect())
+    assert len(texts) - left >= 0.85 * len(pairs)  # radius 3: about half
+
+
+def test_packed_links_connect_what_is_near(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 60, np.int64)
+    fps = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 8), replace=False) if k < 63) for b in base for _ in range(8)]
+    fps += [fps[0], fps[1]] + [int(base[0]) ^ 1 << k for k in range(60)]  # repeats and a long run
+    monkeypatch.setattr(hamming, "BUCKET", 100)
+    near = [(x, y) for i, x in enumerate(fps) for y in fps[:i] if (x ^ y).bit_count() <= 6]
+    got = hamming.packed_links(spark.createDataFrame([(f,) for f in fps], "fp long"), 6, 8).collect()
+    assert all((r.a ^ r.b).bit_count() <= 6 for r in got)
+    linked = lambda links: components.contract(*(np.array(c, np.int64) for c in zip(*links)))
+    assert [x.tolist() for x in linked([(r.a, r.b) for r in got])] == [x.tolist() for x in linked(near)]
+
+
 def test_failed_links_are_searched_again(spark, make_docs):
     # one fingerprint, texts in other orders: the star's links fail, a later pair holds
     ws = [c * 6 for c in "abcdefghijklmnopqrstuvwxyz"]
