@@ -3,7 +3,9 @@
 Prefix sums of turn tokens choose the spans: a turn belongs to the cell of CELL
 tokens in which it starts, so a window holds at most CELL tokens and its last
 turn's rest. Each window opens with the conversation's first system turn and the
-HISTORY turns before it (those of at most HISTORY_TOKENS), then its own turns.
+turns just before it, then its own turns. These repeated turns are contiguous: the
+last one always, however long, and up to HISTORY in all while they hold at most
+HISTORY * HISTORY_TOKENS tokens together.
 Only a window's own assistant turns are under the loss mask; repeated ones are
 masked out, so every assistant text is a target exactly once.
 
@@ -73,14 +75,17 @@ def windows(rows: DataFrame, cell: int = CELL, history: int = HISTORY, history_t
     formatted: the window's text. n_context: its leading repeated turns. loss:
     (start, length) spans of code points, from 1, that are targets."""
     numbered = turns(rows).withColumn("window", F.expr(f"before div {cell}"))
-    written = numbered.select("conv", "conv_id", "role", "tokens", "pos", "window", F.concat(F.lit(HEAD + OPEN), escape(F.col("role")), F.lit(CLOSE)).alias("head"), escape(F.col("text")).alias("body"))
+    written = numbered.select("conv", "conv_id", "role", "tokens", "pos", "before", "window", F.concat(F.lit(HEAD + OPEN), escape(F.col("role")), F.lit(CLOSE)).alias("head"), escape(F.col("text")).alias("body"))
     part = lambda kind: F.struct(F.lit(kind).alias("kind"), "pos", "head", "body", "tokens", (F.lit(kind == 2) & (F.col("role") == TARGET)).alias("target"))
     own = written.select("conv", "conv_id", "window", part(2).alias("part"))
-    firsts = written.groupBy("conv", "window").agg(F.min("pos").alias("first_pos"))
+    firsts = written.groupBy("conv", "window").agg(F.min("pos").alias("first_pos"), F.min("before").alias("start"))
     # A turn repeats in every window that starts 1 to HISTORY turns after it; windows between them own turns, so there may be several.
-    ahead = firsts.select("conv", F.col("window").alias("later"), F.explode(F.expr(f"sequence(first_pos - {history}, first_pos - 1)") if history else F.array().cast("array<long>")).alias("pos"))
+    ahead = firsts.select("conv", F.col("window").alias("later"), "first_pos", "start", F.explode(F.expr(f"sequence(first_pos - {history}, first_pos - 1)") if history else F.array().cast("array<long>")).alias("pos"))
     systems = written.where(F.col("role") == SYSTEM).groupBy("conv").agg(F.min_by(F.struct("conv_id", "pos", "head", "body", "tokens", "role"), "pos").alias("s"))
-    again = written.where((F.col("tokens") <= history_tokens) & (F.col("role") != SYSTEM)).join(ahead, ["conv", "pos"]).select("conv", "conv_id", F.col("later").alias("window"), part(1).alias("part"))
+    fits = (F.col("pos") == F.col("first_pos") - 1) | (F.col("start") - F.col("before") <= history * history_tokens)
+    opening = systems.select("conv", F.col("s.pos").alias("system_pos"))
+    repeated = written.join(ahead, ["conv", "pos"]).where(fits).join(opening, "conv", "left").where("system_pos is null or pos <> system_pos")
+    again = repeated.select("conv", "conv_id", F.col("later").alias("window"), part(1).alias("part"))
     kept = firsts.join(systems, "conv").where(F.col("first_pos") > F.col("s.pos")).select("conv", "window", "s.*").select("conv", "conv_id", "window", part(0).alias("part"))
     grouped = own.unionByName(again).unionByName(kept).groupBy("conv", "window").agg(F.first("conv_id").alias("conv_id"), F.array_sort(F.collect_list("part")).alias("parts"))
     whole = lambda p: F.concat(p["head"], p["body"], F.lit(FOOT))

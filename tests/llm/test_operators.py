@@ -288,6 +288,27 @@ def test_chat_reads_back(spark, sf_dir):
     assert got == slow_chat(conv)
 
 
+def test_chat_history_has_no_holes(spark):
+    words = [3, 5, 200, 7, 300, 90, 350, 4, 6, 280, 20, 500, 9, 100, 110, 120, 130]
+    roles = ["system", "user", "assistant", "system", *("user", "assistant") * 7]
+    talk = [(1, i, r, f"t{i}x " + "w " * (n - 1)) for i, (r, n) in enumerate(zip(roles, words))]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    found = sorted(chat.windows(df).collect(), key=lambda r: r.window)
+    budget, later = chat.HISTORY * chat.HISTORY_TOKENS, 0
+    for r in found:
+        held = [int(i) for i in re.findall(r"t(\d+)x", r.formatted)]
+        first = held[r.n_context]
+        want, total = [], 0
+        for i in range(first - 1, max(-1, first - 1 - chat.HISTORY), -1):
+            total += words[i] + chat.MARKERS
+            if want and total > budget:
+                break
+            want.append(i)
+        assert held[: r.n_context] == sorted({0, *want} if first else want), r.window
+        later += first > 0
+    assert later >= 4
+
+
 # 7 mixing
 
 
