@@ -6,7 +6,9 @@ SHARD slots. Each shard draws its source counts from a multinomial over what the
 sources' quotas still hold, so quotas are met exactly at the end. The k-th slot
 of a source in pass e (k divided by the number of its blocks) takes the block at
 place k of that pass's pseudorandom permutation of the source's block numbers;
-slots and documents meet in a join on (source, block).
+slots and documents meet in a join on (source, block). Quotas are in words: a
+source gets as many slots as its target needs, its last block's length counted
+where it falls, and of its last slot only the words still missing.
 
 Prefix sums are taken per (source, hash bucket) and then over the buckets'
 totals, and the join key holds the block, so a source with most rows is spread.
@@ -59,23 +61,59 @@ def targets(sizes: list[int], share: float = SHARE, most: float = MOST) -> list[
     return out
 
 
+def _mixed(right: np.ndarray, key: np.uint64, mask: np.uint64) -> np.ndarray:
+    mixed = (right + (key >> np.uint64(7))) * key
+    return (mixed ^ (mixed >> np.uint64(31))) & mask
+
+
+def _network(n: int, seed: int) -> tuple[np.uint64, np.uint64, np.ndarray]:
+    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
+    return half, np.uint64((1 << int(half)) - 1), np.random.default_rng(seed).integers(1, 1 << 63, ROUNDS, dtype=np.uint64) | np.uint64(1)
+
+
 def permute(k: np.ndarray, n: int, seed: int) -> np.ndarray:
     """Places k of a pseudorandom permutation of range(n): a Feistel network with cycle walking."""
-    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
-    mask = np.uint64((1 << int(half)) - 1)
-    keys = np.random.default_rng(seed).integers(1, 1 << 63, ROUNDS, dtype=np.uint64) | np.uint64(1)
+    half, mask, keys = _network(n, seed)
     out, todo = np.array(k, np.uint64), np.arange(len(k))
     while len(todo):
         x = out[todo]
         left, right = x >> half, x & mask
         for key in keys:
-            mixed = (right + (key >> np.uint64(7))) * key
-            left, right = right, left ^ ((mixed ^ (mixed >> np.uint64(31))) & mask)
+            left, right = right, left ^ _mixed(right, key, mask)
         out[todo] = (left << half) | right
         todo = todo[out[todo] >= n]
     return out.astype(np.int64)
 
 
+def place_of(value: int, n: int, seed: int) -> int:
+    """The place k at which permute() has the value: the network backwards."""
+    half, mask, keys = _network(n, seed)
+    x = np.array([value], np.uint64)
+    while True:
+        left, right = x >> half, x & mask
+        for key in keys[::-1]:
+            left, right = right ^ _mixed(left, key, mask), left
+        x = (left << half) | right
+        if x[0] < n:
+            return int(x[0])
+
+
+def quota(words: int, size: int, block: int, source: int, seed: int = SEED) -> tuple[int, int]:
+    """(slots, words to leave of the last slot's block) with which a source of `size` words gives `words`."""
+    if not words:
+        return 0, 0
+    n = -(-size // block)
+    turn, rest = divmod(words, size)
+    if not rest:
+        return turn * n, 0
+    lacks, at = n * block - size, place_of(n - 1, n, (seed, source, turn))
+    held = lambda m: m * block - (lacks if at < m else 0)
+    slots = -(-rest // block)
+    if held(slots) < rest:
+        slots += 1
+    return turn * n + slots, held(slots) - rest
+
+
 def draw(quotas: list[int], shard: int = SHARD, seed: int = SEED) -> np.ndarray:
     """Source counts per output shard: multinomial over the quotas left, none overdrawn."""
     left, rng, rows = np.array(quotas, np.int64), np.random.default_rng(seed), []
@@ -103,14 +141,15 @@ def sizes(docs: DataFrame) -> DataFrame:
 def _slots(block_seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for source, first, count, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for source, first, count, n, slots, leaves in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 k = np.arange(first, first + count, dtype=np.int64)
                 for turn in np.unique(k // n):
                     some = k[k // n == turn] % n
                     blocks = permute(some, n, (block_seed, source, int(turn)))
+                    left = np.where((some == (slots - 1) % n) & (turn == (slots - 1) // n), leaves, 0)
                     for at in range(0, len(blocks), 1 << 16):
                         part = blocks[at : at + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), source, np.int32)), pa.array(part), pa.array(np.full(len(part), turn, np.int32))], names=["source_no", "block", "turn"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), source, np.int32)), pa.array(part), pa.array(np.full(len(part), turn, np.int32)), pa.array(left[at : at + (1 << 16)])], names=["source_no", "block", "turn", "leaves"])
 
     return run
 
@@ -125,13 +164,15 @@ def plan(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     source_sizes = [r["size"] for r in found]
     goal = targets(source_sizes)
     blocks = [-(-n // block) for n in source_sizes]
-    quotas = [min(round(t / block), int(MOST * n // block)) if n else 0 for t, n in zip(goal, source_sizes, strict=True)]
+    given = [quota(min(round(t), int(MOST * n)), n, block, i) for i, (t, n) in enumerate(zip(goal, source_sizes, strict=True))]
+    quotas = [slots for slots, _ in given]
     info = spark.createDataFrame([(r["source"], i, r["size"], float(t)) for i, (r, t) in enumerate(zip(found, goal, strict=True))], "source string, source_no int, source_size long, target double")
     drawn = draw(quotas)
     before = np.cumsum(drawn, axis=0) - drawn
     shard_no, source_no = np.nonzero(drawn)
-    counts = pa.table({"source_no": pa.array(source_no.astype(np.int32)), "first": pa.array(before[shard_no, source_no]), "count": pa.array(drawn[shard_no, source_no]), "n": pa.array(np.array(blocks, np.int64)[source_no] if len(source_no) else np.empty(0, np.int64))})
-    slots = spark.createDataFrame(counts).mapInArrow(_slots(SEED), "source_no int, block long, turn int")
+    of = lambda values: pa.array(np.array(values, np.int64)[source_no] if len(source_no) else np.empty(0, np.int64))
+    counts = pa.table({"source_no": pa.array(source_no.astype(np.int32)), "first": pa.array(before[shard_no, source_no]), "count": pa.array(drawn[shard_no, source_no]), "n": of(blocks), "slots": of(quotas), "leaves": of([x for _, x in given])})
+    slots = spark.createDataFrame(counts).mapInArrow(_slots(SEED), "source_no int, block long, turn int, leaves long")
 
     rows = held.join(F.broadcast(info), held["source"].eqNullSafe(info["source"])).drop(info["source"])
     spread = rows.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "key"), F.lit(BUCKETS)))
@@ -142,16 +183,19 @@ def plan(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     placed = (
         spread.withColumn("start", F.coalesce(F.sum("size").over(within), F.lit(0)))
         .join(small(bases), ["source_no", "bucket"])
-        .select("row", "source_no", "size", (F.col("start") + F.col("base")).alias("start"))
+        .select("row", "source_no", "source_size", "size", (F.col("start") + F.col("base")).alias("start"))
     )
     parts = placed.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     # The slots come from a small local table, so their size is underestimated: never broadcast them.
+    # A source's last block ends with its words, so the words to leave are counted from there.
+    parts = parts.withColumn("end", F.least(F.col("source_size"), (F.col("block") + 1) * block))
     takes = parts.join(slots.hint("merge"), ["source_no", "block"]).select(
         "row",
         "turn",
         F.greatest(F.lit(0), F.col("block") * block - F.col("start")).cast("long").alias("first"),
-        F.least(F.col("size"), (F.col("block") + 1) * block - F.col("start")).alias("last"),
+        F.least(F.col("size"), F.col("end") - F.col("leaves") - F.col("start")).alias("last"),
     )
+    takes = takes.where("last > first")
     return rows, takes
 
 

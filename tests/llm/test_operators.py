@@ -338,6 +338,30 @@ def test_mixing_meets_targets(spark, sf_dir, docs, rows, no_docs):
     assert mixing.taken(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
 
 
+def test_places_in_permutations():
+    for n in (1, 2, 3, 7, 100, 1023):
+        places = mixing.permute(np.arange(n), n, 9)
+        assert [mixing.place_of(int(b), n, 9) for b in places] == list(range(n))
+
+
+def test_mixing_meets_small_quotas_to_the_word(make_docs):
+    lengths = {"a": 1, "b": 63, "c": 100, "d": 150, "e": 191, "f": 128, "g": 5000, None: 40}
+    made = [(i, " ".join(f"w{k}" for k in range(n)), s) for i, (s, n) in enumerate(lengths.items())]
+    made += [(20 + i, " ".join("xyz" for _ in range(n)), "d") for i, n in enumerate((3, 200, 77))]
+    docs = make_docs(made)
+    source_of = {i: s for i, _, s in made}
+    for block in (128, 8):
+        taken, target, mixed = Counter(), {}, Counter()
+        for r in mixing.taken(docs, block).collect():
+            taken[source_of[r.doc_id]] += r.taken
+            target[source_of[r.doc_id]] = r.target
+        assert dict(taken) == {s: round(t) for s, t in target.items()} and all(taken.values())
+        assert any(taken[s] == 2 * n for s, n in lengths.items()) and any(n < t < 2 * n for n, t in ((lengths[s], taken[s]) for s in "abcefg"))
+        for r in mixing.mix(docs, block).collect():
+            mixed[source_of[r.doc_id]] += len(r.text.split())
+        assert mixed == taken
+
+
 def test_mix_takes_the_words_it_says(docs, rows):
     words = Counter()
     for r in mixing.mix(docs, block=8).collect():
