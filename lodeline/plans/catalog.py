@@ -378,6 +378,13 @@ def weak_components(spark, sf_dir):
     return ordering.weak_components(edges)
 
 
+@query()
+def weak_components_all_orders(spark, sf_dir):
+    """Customers and all their orders; tests hold it against union-find."""
+    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), (-F.col("o_orderkey")).alias("dst"))
+    return ordering.weak_components(edges)
+
+
 @query("""WITH n AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) SELECT n.event_id AS node, f.event_id AS head, r - 1 AS position FROM n JOIN (SELECT user_id, event_id FROM n WHERE r = 1) f USING (user_id) WHERE user_id IN (SELECT user_id FROM n GROUP BY 1 HAVING count(*) > 1)""")
 def linear_chains(spark, sf_dir):
     """Each user's events as a maximal chain, by pointer doubling."""
@@ -401,6 +408,13 @@ def shortest_paths(spark, sf_dir):
     return ordering.shortest_distances(edges, spark.range(1, 2).withColumnRenamed("id", "node"))
 
 
+@query()
+def shortest_paths_all_parts(spark, sf_dir):
+    """Distances from supplier 1 over suppliers and parts (negative), of any number of hops; tests hold it against Dijkstra's algorithm."""
+    edges = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("src"), (-F.col("l_partkey")).alias("dst")).agg(F.min(F.col("l_quantity").cast("long")).alias("cost"))
+    return ordering.shortest_distances(edges, spark.range(1, 2).withColumnRenamed("id", "node"))
+
+
 # Space
 
 _LON, _LAT = "((({k} * 37) % 3600) / 10.0 - 180)", "((({k} * 53) % 1700) / 10.0 - 85)"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions import geo, text
 from lodeline.operators import ordering, retrieval, spatial
+from lodeline.plans import catalog
 from lodeline.sources import readers
 from lodeline.streaming import ingest
 
@@ -130,3 +131,33 @@ def test_ingestion_resumes(spark, tmp_path):
     assert set(got) == {0, 1, 2, 3, 4} and got[0] == 9
     states = spark.createDataFrame([(1, 0, "PENDING"), (1, 1, "RUNNING"), (1, 2, "COMPLETED"), (2, 0, "PENDING"), (2, 1, "COMPLETED")], "id int, n int, state string")
     assert [(r.id, r.state) for r in ingest.illegal_changes(states, "id", ["n"]).collect()] == [(2, "COMPLETED")]
+
+
+def test_components_over_all_orders(spark, sf_dir):
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_orderkey").collect():
+        x, y = find(a), find(-b)
+        root[max(x, y)] = min(x, y)
+    got = {r.node: r.component for r in catalog.queries()["weak_components_all_orders"](spark, sf_dir).collect()}
+    assert got == {n: find(n) for n in [*root]}
+
+
+def test_shortest_paths_over_all_parts(spark, sf_dir):
+    near, best, queue = {}, {}, [(0.0, 1)]
+    for s, p, q in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey", "l_quantity").collect():
+        for a, b in ((s, -p), (-p, s)):
+            near.setdefault(a, []).append((b, int(q)))
+    while queue:
+        d, n = heapq.heappop(queue)
+        if n not in best:
+            best[n] = d
+            for other, cost in near.get(n, ()):
+                heapq.heappush(queue, (d + cost, other))
+    got = {(r.source, r.node): r.distance for r in catalog.queries()["shortest_paths_all_parts"](spark, sf_dir).collect()}
+    assert got == {(1, n): d for n, d in best.items()} and len(got) > 97
