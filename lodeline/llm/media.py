@@ -255,12 +255,14 @@ def decode(media: bytes) -> tuple[list[np.ndarray], list[tuple[int, int]]]:
 
 
 def feature(thumbs: list[np.ndarray], sizes: list[tuple[int, int]]) -> str:
-    """Dimensions, average hash and difference hash of an 8x9 reduction of the first frame, and a digest of all thumbnails."""
-    small = _reduce(thumbs[0], HASH_SIDE, HASH_SIDE + 1)
+    """Dimensions of each frame, average hash and difference hash of an 8x9 reduction of all
+    frames one below the other (narrower ones padded at the right with their last column), and a digest of all thumbnails."""
+    wide = max(t.shape[1] for t in thumbs)
+    small = _reduce(np.vstack([np.pad(t, ((0, 0), (0, wide - t.shape[1])), "edge") for t in thumbs]) if len(thumbs) > 1 else thumbs[0], HASH_SIDE, HASH_SIDE + 1)
     average = np.packbits(small[:, :HASH_SIDE] > small[:, :HASH_SIDE].mean()).tobytes().hex()
     difference = np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
     whole = hashlib.md5(b"".join(t.tobytes() for t in thumbs)).hexdigest()[:16]
-    return f"{'+'.join(f'{w}x{h}' for w, h in sizes[:1])}*{len(sizes)}:{average}:{difference}:{whole}"
+    return f"{'+'.join(f'{w}x{h}' for w, h in sizes)}*{len(sizes)}:{average}:{difference}:{whole}"
 
 
 def _reduce(image: np.ndarray, rows: int, cols: int) -> np.ndarray:

@@ -565,6 +565,15 @@ def test_media_general_decoder_and_frames():
     assert len(thumbs) == 2 and b"".join(t.tobytes() for t in thumbs) == big
 
 
+def test_media_feature_covers_all_frames():
+    first, later = np.arange(99, dtype=np.uint8).reshape(9, 11), np.full((9, 5), 7, np.uint8)
+    other = later.copy()
+    other[:, 3:] = 250
+    one, two = (media.feature([first, x], [(88, 72), (40, 72)]).split(":") for x in (later, other))
+    assert one[0] == "88x72+40x72*2" and one[1] != two[1] and one[2] != two[2]
+    assert media.feature([first], [(88, 72)]).startswith("88x72*1:")
+
+
 def standard_jpeg(interval):
     """A 2-component-sampled colour scan written by hand with wide tables, AC terms and restarts."""
     bits = []
