@@ -179,6 +179,12 @@ def text_cleanup(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean(t)).alias("cleaned"), text.quality(t).alias("quality"), F.substring(text.with_prefix(t, "passage: "), 1, 20).alias("prefixed"))
 
 
+@query("""SELECT doc_id, md5(CASE WHEN starts_with(text, 'passage: ') THEN text ELSE 'passage: ' || text END) AS prefixed FROM documents""")
+def prefixed_texts(spark, sf_dir):
+    """The whole prefixed text's digest."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.with_prefix(F.col("text"), "passage: ")).alias("prefixed"))
+
+
 @query("""WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 3400)) AS start FROM documents WHERE length(text) > 0), c AS (
   SELECT doc_id, start, least(length(text), start + 4000) AS stop, trim(text[start + 1:start + 4000]) AS t FROM s
 ) SELECT doc_id, start, stop AS "end", t AS text, sha256(doc_id || ':' || start || ':' || stop || ':' || t)[:24] AS chunk_id FROM c WHERE t <> ''""")
@@ -599,9 +605,9 @@ def segments_on_land(spark, sf_dir):
 
 @query()
 def sea_legs(spark, sf_dir):
-    """A leg from each supplier past the nations' triangles, sampled every 50 km."""
+    """A leg from each supplier past the nations' triangles, sampled every 5 km."""
     legs = _points(spark, sf_dir, "supplier", "s_suppkey").select("id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), (F.col("lon") * 0.9).alias("lon2"), (F.col("lat") * 0.8).alias("lat2"))
-    return spatial.sea_legs(legs, _triangles(spark, sf_dir), 50_000.0)
+    return spatial.sea_legs(legs, _triangles(spark, sf_dir))
 
 
 # Streams (the windows are an extension)

@@ -1,4 +1,5 @@
 import heapq
+import inspect
 import json
 import math
 import random
@@ -161,3 +162,17 @@ def test_shortest_paths_over_all_parts(spark, sf_dir):
                 heapq.heappush(queue, (d + cost, other))
     got = {(r.source, r.node): r.distance for r in catalog.queries()["shortest_paths_all_parts"](spark, sf_dir).collect()}
     assert got == {(1, n): d for n, d in best.items()} and len(got) > 97
+
+
+def test_sea_legs_query_samples_at_the_default(spark, sf_dir, monkeypatch):
+    bound, plain = [], inspect.signature(spatial.sea_legs)
+    real = spatial.sea_legs
+
+    def spy(*args, **kwargs):
+        call = plain.bind(*args, **kwargs)
+        call.apply_defaults()
+        bound.append(call.arguments["metres"])
+        return real(*args, **kwargs)
+
+    monkeypatch.setattr(spatial, "sea_legs", spy)
+    assert catalog.queries()["sea_legs"](spark, sf_dir).count() > 0 and bound == [5_000.0]
