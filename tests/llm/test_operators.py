@@ -406,14 +406,57 @@ def test_url_rules_and_model(spark, sf_dir):
 # 9 lines
 
 
+M64 = (1 << 64) - 1
+
+
+def slow_mix(x):
+    for _ in range(2):
+        x = (x ^ x >> 32) * int(lines.ODD) & M64
+    return x ^ x >> 32
+
+
+def slow_words(norm):
+    """(hash, bytes) of the words of a normalised line; three-byte ideographs and syllables are words."""
+    out = []
+    for run in norm.split():
+        at = [0, *(i for i in range(1, len(run)) if 0xE3 <= run[i] <= 0xED), len(run)]
+        for word in (run[a:b] for a, b in zip(at, at[1:])):
+            h = slow_mix(int.from_bytes(word[:8], "little") + len(word) * int(lines.STEP) & M64)
+            for k in range(8, len(word), 8):
+                h = slow_mix(h * int(lines.STEP) + int.from_bytes(word[k : k + 8], "little") & M64)
+            out.append((h, len(word)))
+    return out
+
+
+def slow_keys(line):
+    """The keys of a line's blocks and of all its words but one, one bit after the other."""
+    words, keys = slow_words(lines.normalised(line)), set()
+    pairs = {(slow_mix(a[0] * 3 + b[0] & M64) >> 26, min(a[1] + b[1], 63)) for a, b in zip(words, words[1:])}
+    if len(pairs) >= 6:
+        for n in {len(pairs), int(len(pairs) * 1.25)}:
+            level = max(k for k in range(40) if 1.5 * 2**k <= n)
+            for number in range(min(16, 1 << level)):
+                mine = [p for p in pairs if p[0] >> 38 - level == number]
+                if sum(p[1] for p in mine) >= 12:
+                    hashes = [slow_mix(p[0] + 1) for p in mine]
+                    block = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+                    keys.add(slow_mix(block + (number * 64 + level) * int(lines.STEP) & M64))
+    if 2 <= len(words) <= 16:
+        total = sum(w[1] for w in words)
+        for skip in [None, *range(len(words))]:
+            if skip is None or (total - words[skip][1] >= 12 and 2 * words[skip][1] <= total):
+                rest = [w[0] for i, w in enumerate(words) if i != skip]
+                keys.add(slow_mix(sum(h * pow(int(lines.STEP), i, 1 << 64) for i, h in enumerate(rest)) & M64))
+    return keys
+
+
 def slow_line_groups(texts):
     """Removed lines per text by all pairs."""
-    places, hashes, norms, fps = [], [], [], []
+    places, norms, keys = [], [], []
     for i, t in enumerate(texts):
-        n, h, f = lines.line_hashes((t or "").encode())
-        split = (t or "").encode().split(b"\n")
-        for k, hh, ff in zip(n, h.tolist(), f.view(np.uint64).tolist()):
-            places.append((i, k)), hashes.append(hh), fps.append(ff), norms.append(lines.normalised(split[k]).decode())
+        for k, line in enumerate((t or "").encode().split(b"\n")):
+            if norm := lines.normalised(line):
+                places.append((i, k)), norms.append(norm.decode()), keys.append(slow_keys(line))
     root = list(range(len(places)))
 
     def find(i):
@@ -423,11 +466,15 @@ def slow_line_groups(texts):
 
     for i in range(len(places)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= lines.RADIUS and slow_distance(norms[i], norms[j]) <= int(0.2 * max(len(norms[i]), len(norms[j])) + 1e-9):
+            if norms[i] == norms[j] or (keys[i] & keys[j] and slow_similar(norms[i], norms[j])):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return {p for i, p in enumerate(places) if find(i) != i}
 
 
+def slow_similar(a, b):
+    return slow_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+
+
 def slow_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):
@@ -438,16 +485,63 @@ def slow_distance(a, b):
     return row[-1]
 
 
-def test_line_simhash_equals_a_plain_count():
+def test_line_keys_equal_a_plain_count(monkeypatch):
     rnd = random.Random(9)
-    text = "\n".join(" ".join(rnd.choice("abcdefghij") * rnd.randrange(1, 90) for _ in range(rnd.choice([0, 1, 3, 200, 900]))) for _ in range(40))
-    numbers, _, fps = lines.line_hashes(text.encode())
-    for k, fp in zip(numbers, fps.view(np.uint64).tolist()):
-        hashes = [xxhash.xxh64_intdigest(w, 1) for w in set(lines.normalised(text.split("\n")[k].encode()).split())]
-        assert fp == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-    sizes = np.array([1, 300, 5, 700, 255, 256])
+    odd = ["", "...", "a", "Ab 日本語のテキスト、です xyz", "x" * 700, "é " * 40, "one two", "0 1 2 3 4 5 6 7 8 9", "the the the the the the the the the"]
+    made = odd + [" ".join(rnd.choice("abcdefghij") * rnd.randrange(1, 90) for _ in range(rnd.choice([0, 1, 3, 12, 17, 40, 200]))) for _ in range(60)]
+    data = "\n".join([*made, ""]).encode().translate(lines.TO)
+    whole = lines.keyed_lines(data)
+    for i, line in enumerate(made):
+        assert set(whole[1][whole[2] == i].tolist()) == slow_keys(line.encode()), line[:80]
+    assert [bool(h) for h in whole[0].tolist()] == [bool(lines.normalised(x.encode())) for x in made]
+    assert len(set(whole[0].tolist())) == len({lines.normalised(x.encode()) for x in made})
+    assert lines.keyed_lines("日 本\n日本\n".encode())[0].tolist() != lines.keyed_lines("日本\n日本\n".encode())[0].tolist()
+    monkeypatch.setattr(lines, "PIECE", 800)
+    monkeypatch.setattr(lines, "LINE_BITS", 3)
+    for a, b in zip(whole, lines.keyed_lines(data)):
+        assert (np.sort(a) == np.sort(b)).all()
+    sizes = np.array([1, 300, 5, 700, 255, 256, 2])
     many = np.random.default_rng(1).integers(0, 1 << 64, sizes.sum(), np.uint64)
-    assert (lines.simhashes(many, sizes, chunk=100) == lines.simhashes(many, sizes)).all()
+    want, at = [], 0
+    for n in sizes.tolist():
+        part, at = many[at : at + n].tolist(), at + n
+        want.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in part) > n))
+    assert lines.simhashes(many, sizes, chunk=100).tolist() == lines.simhashes(many, sizes).tolist() == want
+
+
+@pytest.mark.parametrize("edit", ["replace", "insert", "letter", "several"])
+def test_line_recall_by_length(edit):
+    """Pairs with edit similarity of 0.8 and more that share a key, by length: 0.9 at least."""
+    rnd, word = random.Random(7), lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 10)))
+    for n in (6, 8, 12, 20, 50, 100, 200):
+        hits = total = 0
+        while total < 150:
+            ws = [word() for _ in range(n)]
+            other = [*ws]
+            for _ in range(max(1, n // 12) if edit == "several" else 1):
+                k = rnd.randrange(n)
+                other[k : k + (edit != "insert")] = [ws[k][:-1] + "x" if edit == "letter" else word()]
+            a, b = " ".join(ws), " ".join(other)
+            if a != b and lines.similar(a, b):
+                total += 1
+                hits += bool(slow_keys(a.encode()) & slow_keys(b.encode()))
+        assert hits >= 0.9 * total, (edit, n, hits, total)
+
+
+def test_line_recall_on_documents(sf_dir):
+    """All pairs of lines of the smallest documents by edit similarity alone."""
+    texts = pd.read_parquet(f"{sf_dir}/documents.parquet").text.dropna()
+    norms = sorted({lines.normalised(x.encode()) for t in texts for x in t.split("\n")} - {b""}, key=len)
+    keys = [slow_keys(x) for x in norms]
+    hits = total = 0
+    for i, a in enumerate(norms):
+        for j in range(i + 1, len(norms)):
+            if 0.8 * len(norms[j]) > len(a):
+                break
+            shared = bool(keys[i] & keys[j])
+            if (shared or len({*a.split()} & {*norms[j].split()}) >= len(a.split()) / 3) and lines.similar(a.decode(), norms[j].decode()):
+                total, hits = total + 1, hits + shared
+    assert total >= 20 and hits >= 0.9 * total, (hits, total)
 
 
 def test_edit_distance():
@@ -519,6 +613,27 @@ def test_failed_links_are_searched_again(spark, make_docs):
         assert {i for i, t in got.items() if not t} == {i for i, _ in gone} and len(gone) == 1
 
 
+def test_dense_blocks_give_few_links(spark, monkeypatch):
+    """Lines that share blocks but little text: links stay few, and parts of a block find what the whole finds."""
+    rnd = random.Random(11)
+    passage = " ".join(f"common{i}" for i in range(12))
+    made = [f"{passage} " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(14)) for _ in range(40)]
+    made += [x + " more" for x in made[:12]]
+    labels = np.arange(len(made))
+    found = lines.across(made, labels, np.zeros(len(made), int), -1)
+    assert len(found) == 12 and {(a, b) for a, b in found} == {(i, 40 + i) for i in range(12)}
+    near = [passage + f" x{i}" for i in range(200)]
+    assert len(lines.across(near, np.arange(200), np.zeros(200, int), -1)) == 199
+    orders = [" ".join(rnd.sample([c * 5 for c in "abcdefghijklmnopqrst"], 20)) for _ in range(2000)]
+    keys = Counter(k for x in orders for k in slow_keys(x.encode()))
+    assert sum(n * (n - 1) // 2 for n in keys.values()) < 2000
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(made)], "doc_id long, text string")
+    want = {i for i, _ in slow_line_groups(made)}
+    for chunk in (lines.CHUNK, 10):
+        monkeypatch.setattr(lines, "CHUNK", chunk)
+        assert {r.doc_id for r in lines.dedup_lines(docs).collect() if not r.text} == want and len(want) >= 12
+
+
 def test_lines_defined_cases(docs, rows, no_docs):
     found = lines.dedup_lines(docs, counts=True)
     assert found.columns == [*docs.columns, "__lines", "__removed"]
