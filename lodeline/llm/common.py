@@ -6,13 +6,17 @@ rest of the library.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only up to this many rows of at most 64 bytes (32 MB).
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 1 << 25
 
 #: Whitespace of the word pattern [^\x20\x09-\x0D]+; bytes.split() uses the same six bytes.
 SPACES = b" \t\n\r\x0b\x0c"
@@ -49,6 +53,26 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def small_arrays(df: DataFrame, array: str, each: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """small() for rows with an array: by the bytes of the rows, 24 besides the array, `each` an element."""
+    size = df.agg(F.sum(24 + F.size(array) * each)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
+_live: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object]):
+    """What the named operator keeps in this Python worker. Workers are reused from stage to
+    stage: another operator's cache is dropped first, so that a worker never holds two."""
+    if name not in _live:
+        _live.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _live[name] = make()
+    return _live[name]
+
+
 def as_bytes(text: str = "text"):
     """The whole text as UTF-8 bytes, empty for null."""
     return F.coalesce(F.col(text).cast("binary"), F.lit(b""))

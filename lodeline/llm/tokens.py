@@ -17,18 +17,17 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, worker_cache
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
-#: Segments whose counts a worker keeps; beyond it the cache starts again.
-CACHE = 400_000
+#: Segments whose counts a worker keeps, and the code points of the longest; beyond it the cache starts again.
+CACHE, LONGEST = 400_000, 63
 MARK = "▁"
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -83,14 +82,13 @@ class PairMerger:
             n = cache.get(part)
             if n is None:
                 n = self.merged(part)
-                if len(part) < 64:
+                if len(part) <= LONGEST:
                     cache[part] = n
             total += n
         return total
 
 
-@lru_cache(maxsize=2)
-def merger(path: str) -> PairMerger:
+def _load(path: str) -> PairMerger:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -98,6 +96,10 @@ def merger(path: str) -> PairMerger:
     return PairMerger({model.id_to_piece(i): -model.get_score(i) for i in usable})
 
 
+def merger(path: str) -> PairMerger:
+    return worker_cache(f"tokens {path}", lambda: _load(path))
+
+
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs.
 

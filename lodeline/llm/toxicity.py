@@ -8,12 +8,14 @@ per-coordinate learning rates and L1 sets most weights to exactly zero, so the
 broadcast model is the nonzero weights, at most 2**BITS of 8 bytes.
 
 Training reads a bounded sample: the SAMPLE labelled documents with the least
-hash of their id (documented bound), featurised in parallel, in one task that
-makes EPOCHS passes in that order. Scoring covers every row and needs no shuffle.
+hash of their id, and of these as many as have SAMPLE_BYTES of features together
+(documented bounds), featurised in parallel, in one task that makes EPOCHS passes
+in that order. Scoring covers every row and needs no shuffle.
 
 Defined cases: null and empty texts have only the bias. Repeated labels of a
 document count once (toxic wins); labels that are null or neither 0 nor 1 are
-not used. With no usable label every score is 0.
+not used. Of repeated rows of a labelled document the least text is trained on;
+all are scored. With no usable label every score is 0.
 Rows with a null doc_id are scored and not held out. Other columns, clashing
 names among them, pass through drop_toxic() untouched.
 """
@@ -28,26 +30,25 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, table
+from .common import as_bytes, table, worker_cache
 
 BITS = 20
 SAMPLE = 20_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.1
 FOLDS = 5
-#: Words whose hashes a worker keeps.
-CACHE = 400_000
+#: Words whose hashes a worker keeps, and the bytes of the longest.
+CACHE, LONGEST = 300_000, 64
+#: Bytes of features that are trained on; documents of the sample beyond them are left out.
+SAMPLE_BYTES = 1 << 27
 
 #: Code points of a stem, and how often a stem must occur for each of its features.
 STEM = 5
 TIMES = (1, 2, 3)
 
-_words: dict[bytes, tuple[int, int]] = {}
-
-
 def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of each word and of its stem, A-Z lower-cased, without punctuation at the ends."""
-    known, digest = _words, xxhash.xxh64_intdigest
+    known, digest = worker_cache("toxicity", dict), xxhash.xxh64_intdigest
     if len(known) > CACHE:
         known.clear()
     out = []
@@ -55,7 +56,9 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         h = known.get(w)
         if h is None:
             bare = w.strip(b".,;:!?\"'()[]{}*#$%&<>|-") or w
-            h = known[w] = digest(bare), digest(bare.decode(errors="replace")[:STEM].encode(), 1)
+            h = digest(bare), digest(bare.decode(errors="replace")[:STEM].encode(), 1)
+            if len(w) <= LONGEST:
+                known[w] = h
         out.append(h)
     both = np.array(out, dtype=np.uint64).reshape(-1, 2)
     return both[:, 0], both[:, 1]
@@ -109,7 +112,7 @@ def train(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EP
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The bounded sample: (data, toxic, rank) of labelled documents outside the held-out fold."""
+    """The bounded sample: (data, toxic, rank, doc_id) of labelled documents outside the held-out fold, a row each."""
     usable = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .where(f"toxic in (0, 1) and doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % {FOLDS} <> 0")
@@ -119,39 +122,51 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     )
     chosen = usable.orderBy("rank", "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("data"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("data", "toxic", "rank")
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "rank").agg(F.min("data").alias("data")).select("data", "toxic", "rank", "doc_id")  # broadcasts at most `sample` rows
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [features(x.as_py()).tobytes() for x in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2)], names=["found", "toxic", "rank"])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *batch.columns[1:]], names=["found", "toxic", "rank", "doc_id"])
 
 
-def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
+def bounded(batches: Iterator[pa.RecordBatch], most: int = SAMPLE_BYTES) -> list[tuple[np.ndarray, int]]:
+    """(features, label) of the first rows that hold at most so many bytes together; the first row always."""
+    rows, held = [], 0
     for batch in batches:
-        rows += zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        for found, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            data = found.as_py()
+            held += len(data)
+            if rows and held > most:
+                return rows
+            rows.append((np.frombuffer(data, np.uint32), label))
+    return rows
+
+
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = bounded(batches)
+    for _ in batches:  # what is beyond the bound is read to the end
+        pass
     if rows:
-        rows.sort()
-        index, weight = train([(np.frombuffer(f, np.uint32), y) for _, f, y in rows])
+        index, weight = train(rows)
         yield pa.RecordBatch.from_arrays([pa.array(index), pa.array(weight)], names=["index", "weight"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[int, float]:
-    """Nonzero weights by index; empty if no label can be used."""
-    rows = training_rows(docs, labels, sample).mapInArrow(_featurise, "found binary, toxic int, rank long")
-    model = rows.repartition(1).mapInArrow(_train_task, "index long, weight double")
-    return {r["index"]: r["weight"] for r in model.collect()}  # at most 2**BITS + 1 rows
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
+    """index and weight of the nonzero weights; empty if no label can be used."""
+    rows = training_rows(docs, labels, sample).mapInArrow(_featurise, "found binary, toxic int, rank long, doc_id long")
+    model = rows.repartition(1).sortWithinPartitions("rank", "doc_id").mapInArrow(_train_task, "index long, weight double").toArrow()  # at most 2**BITS + 1 rows
+    return {"index": model["index"].to_numpy(), "weight": model["weight"].to_numpy()} if model.num_rows else {}
 
 
 class Scorer:
-    def __init__(self, model: dict[int, float], bits: int = BITS) -> None:
+    def __init__(self, model: dict[str, np.ndarray], bits: int = BITS) -> None:
         self.known = bool(model)
-        self.weights = np.zeros(1 << bits, np.float32)
-        self.bias = model.get(1 << bits, 0.0)
-        index = np.array([i for i in model if i < 1 << bits], np.int64)
-        self.weights[index] = [model[i] for i in index]
+        weights = np.zeros((1 << bits) + 1, np.float32)
+        if self.known:
+            weights[model["index"]] = model["weight"]
+        self.weights, self.bias = weights[:-1], float(weights[-1])
 
     def __call__(self, data: bytes | None) -> float:
         if not self.known:
@@ -160,7 +175,7 @@ class Scorer:
         return float(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))
 
 
-def scores(docs: DataFrame, model: dict[int, float]) -> DataFrame:
+def scores(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
