@@ -1,12 +1,17 @@
-"""Links between 64-bit fingerprints within a Hamming radius.
-
-Both users emit bucket keys for every distinct fingerprint, shuffle on the key
-and look for links inside each bucket. Buckets are sorted runs of a partition,
-read batch by batch. Inside a run the links found form a spanning forest of
-"differs in at most radius bits", grown breadth first: every fingerprint is
-compared with those not reached yet, so a dense run of m near copies costs
-little more than m comparisons and gives at most m - 1 links, never all pairs.
-Memory is one run of 8-byte values.
+"""Links between 64-bit fingerprints within a Hamming radius, by meet-in-the-middle ball hashing.
+
+Two fingerprints within `radius` bits have a common variant within half of it from
+each. Every fingerprint has all its variants on all 64 bits (2,081 for a radius of
+4), and those that share one are linked. The shuffle is on the variants' low bits:
+of the ball, a task deals a fingerprint once to each value that its low bits take
+(137 for 16 bits), and there the rest of the ball, the variants of the high bits, is
+made and met, some buckets at a time. So each variant is in one task, but 12 bytes
+are shuffled for many of them.
+
+Fingerprints that share a variant are within the radius by the triangle inequality,
+which is verified all the same. Links are contracted in the task that finds them, so a
+dense group of m near copies gives at most m - 1 links a time, never all pairs.
+Memory is the VARIANTS that a task makes at a time, and the balls of one bucket.
 """
 
 from __future__ import annotations
@@ -17,248 +22,140 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-LINKS = "a long, b long"
-
-
-#: Runs up to this size are compared pair by pair, all runs at once.
-SHORT = 8
-
-
-def forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning-forest links under Hamming distance <= radius, as places in values."""
-    left, right = [], []
-    rest, places = values, np.arange(len(values))
-    while len(rest) > 1:
-        frontier, rest, places = [places[0]], rest[1:], places[1:]
-        while frontier and len(rest):
-            i = frontier.pop()
-            near = np.bitwise_count(rest ^ values[i]) <= radius
-            if near.any():
-                found = places[near]
-                left.append(np.full(len(found), i))
-                right.append(found)
-                frontier.extend(found.tolist())
-                rest, places = rest[~near], places[~near]
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def across(values: np.ndarray, labels: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All places within the radius of each other whose labels differ."""
-    left, right = [], []
-    for i in range(len(values) - 1):
-        found = np.flatnonzero((np.bitwise_count(values[i + 1 :] ^ values[i]) <= radius) & (labels[i + 1 :] != labels[i])) + i + 1
-        left.append(np.full(len(found), i))
-        right.append(found)
-    return np.concatenate(left), np.concatenate(right)
-
 
-def run_links(keys: np.ndarray, values: np.ndarray, radius: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Places that are linked inside the runs of equal keys. With labels: every
-    pair whose labels differ; else a spanning forest (short runs: every pair)."""
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[starts, len(keys)])
-    size_of = np.repeat(sizes, sizes)
-    out_a, out_b = [], []
-    for lag in range(1, min(SHORT, len(keys))):
-        i = np.flatnonzero((keys[:-lag] == keys[lag:]) & (size_of[:-lag] <= SHORT))
-        near = np.bitwise_count(values[i] ^ values[i + lag]) <= radius
-        if labels is not None:
-            near &= labels[i] != labels[i + lag]
-        out_a.append(i[near])
-        out_b.append(i[near] + lag)
-    long = sizes > SHORT
-    for at, n in zip(starts[long], sizes[long], strict=True):
-        part = slice(at, at + n)
-        a, b = forest(values[part], radius) if labels is None else across(values[part], labels[part], radius)
-        out_a.append(a + at)
-        out_b.append(b + at)
-    if not out_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(out_a), np.concatenate(out_b)
-
-
-def _bucket_links(radius: int):
-    def emit(parts):
-        keys, values, *more = (np.concatenate(x) for x in zip(*parts, strict=True))
-        a, b = run_links(keys, values.view(np.uint64), radius, more[1] if len(more) > 1 else None)
-        ids = more[0] if more else values
-        if len(a):
-            a, b = ids[a], ids[b]
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [c.to_numpy() for c in batch.columns]
-            keys = columns[0]
-            if held and keys[-1] == held[-1][0][-1]:
-                held.append(columns)
-                continue
-            cut = np.searchsorted(keys, keys[-1], side="left")
-            yield from emit([*held, [c[:cut] for c in columns]])
-            held = [[c[cut:] for c in columns]]
-        if held:
-            yield from emit(held)
-
-    return run
+from .components import contract
 
-
-def links_in_buckets(buckets: DataFrame, radius: int) -> DataFrame:
-    """Distinct links (a, b) within the buckets of (key, fp) rows, or of (key, fp, id)
-    or (key, fp, id, label) rows; a and b are ids, else fingerprints."""
-    rows = buckets.select("key", "fp", *(c for c in ("id", "label") if c in buckets.columns))
-    return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_bucket_links(radius), LINKS).distinct()
-
-
-def ball_keys(fp, radius: int):
-    """Meet-in-the-middle ball hashing on each 32-bit half.
-
-    Two fingerprints within `radius` bits have a half within radius // 2 bits,
-    and then the balls of half that radius around these halves share a variant.
-    For a radius of 2 to 5 every fingerprint emits the variants of both halves
-    within one bit (33 + 33); the key holds the half's number above the variant.
-    Balls of radius 2 on the whole 64 bits would be 2,081 variants.
-    """
-    if not 0 <= radius <= 5:
-        raise ValueError("radius must be 0 to 5")
-    flips = [0] + ([1 << i for i in range(32)] if radius >= 2 else [])
-    masks = F.array(*[F.lit(m).cast("long") for m in flips])
-    low = fp.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    high = F.shiftrightunsigned(fp, 32)
-    mark = F.lit(1 << 32).cast("long")
-    return F.explode(
-        F.concat(
-            F.transform(masks, lambda m: low.bitwiseXOR(m)),
-            F.transform(masks, lambda m: high.bitwiseXOR(m).bitwiseOR(mark)),
-        )
-    )
-
-
-def pigeonhole_keys(fp, radius: int, blocks: int):
-    """Keys of all sets of `blocks - radius` blocks: two fingerprints within
-    `radius` bits agree on at least one such set, bit for bit."""
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    part = lambda i: F.shiftrightunsigned(fp, edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1).cast("long"))
-    keys = []
-    for number, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        key, width = F.lit(number).cast("long"), 0
-        for i in chosen:
-            width += edges[i + 1] - edges[i]
-            key = F.shiftleft(key, edges[i + 1] - edges[i]).bitwiseOR(part(i))
-        if width > 56:
-            raise ValueError("too few blocks to skip: the key would not fit 64 bits")
-        keys.append(key)
-    return F.explode(F.array(*keys))
-
-
-#: Fingerprints of a bucket in packed_links(), on average, and those that a task deals out at a time.
-BUCKET, DEAL = 250_000, 1 << 17
-#: Runs up to this size are searched lag by lag, longer ones in rectangles of at most CELLS pairs.
-MEDIUM, CELLS = 64, 1 << 17
-
-
-def block_keys(values: np.ndarray, chosen: tuple[int, ...], blocks: int) -> np.ndarray:
-    """The chosen ones of equal blocks of bits, side by side."""
-    edges, key = [round(64 * i / blocks) for i in range(blocks + 1)], np.zeros(len(values), np.uint64)
-    for i in chosen:
-        width = edges[i + 1] - edges[i]
-        key = key << np.uint64(width) | values >> np.uint64(edges[i]) & np.uint64((1 << width) - 1)
-    return key
-
-
-def has_near(keys: np.ndarray, values: np.ndarray, radius: int) -> np.ndarray:
-    """Whether another value of the run of equal keys is within the radius."""
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[starts, len(keys)])
-    size_of, found = np.repeat(sizes, sizes), np.zeros(len(keys), bool)
-    at = np.flatnonzero((size_of > 1) & (size_of <= MEDIUM))
-    k, v, lag = keys[at], values[at], 1
-    while len(at) > lag:
-        i = np.flatnonzero((k[lag:] == k[:-lag]) & (np.bitwise_count(v[lag:] ^ v[:-lag]) <= radius))
-        found[at[i]] = found[at[i + lag]] = True
-        lag += 1
-        if lag % 8 == 0:
-            more = size_of[at] > lag
-            at, k, v = at[more], k[more], v[more]
-    long = sizes > MEDIUM
-    for start, n in zip(starts[long], sizes[long], strict=True):
-        part, step = values[start : start + n], max(1, CELLS // n)
-        for i in range(0, n, step):
-            near = np.bitwise_count(part[i : i + step, None] ^ part) <= radius
-            found[start + i : start + min(i + step, n)] = np.count_nonzero(near, axis=1) > 1
-    return found
-
-
-def _deal(radius: int, blocks: int, per: int):
+LINKS = "a long, b long"
+#: Least number of low bits, variants of a shuffle bucket and of a step on average, and fingerprints that a task deals out at a time.
+LOW, BUCKET, VARIANTS, DEAL = 16, 1 << 23, 1 << 21, 1 << 14
+#: Bits of a filter of the variants that meet.
+FILTER = 20
+
+
+def ball(bits: int, radius: int) -> np.ndarray:
+    """Masks of up to `radius` of so many bits."""
+    return np.array([sum(1 << i for i in chosen) for r in range(radius + 1) for chosen in combinations(range(bits), r)], np.uint64)
+
+
+def ball_size(bits: int, radius: int) -> int:
+    return len(ball(bits, radius)) if radius else 1
+
+
+def _spread(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
+
+
+def deal(fps: np.ndarray, low: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(low bits of a variant, fingerprint): each fingerprint once for each value."""
+    masks = ball(low, radius // 2)
+    part = fps & np.uint64((1 << low) - 1)
+    return (part[:, None] ^ masks).reshape(-1).astype(np.uint32), np.repeat(fps, len(masks))
+
+
+def meetings(lows: np.ndarray, fps: np.ndarray, low: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links of fingerprints (as dealt by deal()) that have a variant in common, to the least that has it."""
+    half, lows = radius // 2, lows.astype(np.uint64)
+    used = np.bitwise_count((fps & np.uint64((1 << low) - 1)) ^ lows)
+    made, owners, starts, at = [], [], [], 0
+    for flips in range(half + 1):  # what the low bits leave of the ball is spent on the high ones
+        mine = np.flatnonzero(used == flips)
+        masks = ball(64 - low, half - flips) << np.uint64(low)
+        base = fps[mine] >> np.uint64(low) << np.uint64(low) | lows[mine]
+        made.append((base[:, None] ^ masks).reshape(-1))
+        owners.append((fps[mine], len(masks)))
+        starts.append(at)
+        at += len(made[-1])
+    variants = np.concatenate(made)
+    ranked = np.sort(variants)
+    met = ranked[1:][ranked[1:] == ranked[:-1]]
+    if not len(met):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    met = met[np.r_[True, met[1:] != met[:-1]]]
+    known = np.zeros(1 << FILTER, bool)
+    known[_spread(met, FILTER)] = True
+    places = np.flatnonzero(known[_spread(variants, FILTER)])
+    number = np.searchsorted(met, variants[places])
+    right = met[np.minimum(number, len(met) - 1)] == variants[places]
+    places, number = places[right], number[right]
+    kind = np.searchsorted(starts, places, side="right") - 1
+    owner = np.empty(len(places), np.uint64)
+    for flips, (values, n) in enumerate(owners):
+        some = np.flatnonzero(kind == flips)
+        owner[some] = values[(places[some] - starts[flips]) // n]
+    order = np.lexsort((owner, number))
+    number, owner = number[order], owner[order]
+    opens = np.r_[True, number[1:] != number[:-1]]
+    least = owner[np.flatnonzero(opens)][np.cumsum(opens) - 1]
+    near = (owner != least) & (np.bitwise_count(owner ^ least) <= radius)
+    return least[near], owner[near]
+
+
+def _deal(low: int, radius: int, per: int):
     def emit(held):
-        values = np.concatenate(held)
-        for number, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-            bucket = (block_keys(values, chosen, blocks) % np.uint64(per)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            sizes = np.bincount(bucket, minlength=per)
-            ends = np.cumsum(sizes)
-            some = np.flatnonzero(sizes)
-            dealt = values[order]
-            blobs = [dealt[ends[b] - sizes[b] : ends[b]].tobytes() for b in some]
-            yield pa.RecordBatch.from_arrays([pa.array(number * per + some), pa.array(blobs, pa.binary())], names=["bucket", "fps"])
+        lows, fps = deal(np.concatenate(held).view(np.uint64), low, radius)
+        bucket = (_spread(lows.astype(np.uint64), 32) % np.uint64(per)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        sizes = np.bincount(bucket, minlength=per)
+        ends, some = np.cumsum(sizes), np.flatnonzero(sizes)
+        lows, fps = lows[order], fps[order]
+        cut = lambda x, b: x[ends[b] - sizes[b] : ends[b]].tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([cut(lows, b) for b in some], pa.binary()), pa.array([cut(fps, b) for b in some], pa.binary())], names=["bucket", "lows", "fps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
         for batch in batches:
-            held.append(batch.column(0).to_numpy().view(np.uint64))
-            n += batch.num_rows
-            if n >= DEAL:
-                yield from emit(held)
-                held, n = [], 0
-        if n:
-            yield from emit(held)
+            values = batch.column(0).to_numpy()
+            for at in range(0, len(values), DEAL):
+                yield from emit([values[at : at + DEAL]])
 
     return run
 
 
-def _packed(radius: int, blocks: int, per: int):
-    sets = [*combinations(range(blocks), blocks - radius)]
-
-    def emit(bucket: int, held: list[bytes]):
-        values = np.frombuffer(b"".join(held), np.uint64)
-        keys = block_keys(values, sets[bucket // per], blocks)
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        near = has_near(keys, values, radius)
-        if near.any():
-            values = values[near]
-            a, b = run_links(keys[near], values, radius)
-            a, b = values[a].view(np.int64), values[b].view(np.int64)
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+def _meet(low: int, radius: int):
+    def steps(lows: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Parts of whole low values with about VARIANTS variants."""
+        order = np.argsort(lows, kind="stable")
+        lows, fps = lows[order], fps[order]
+        used = np.bitwise_count((fps & np.uint64((1 << low) - 1)) ^ lows.astype(np.uint64))
+        cost = np.array([ball_size(64 - low, radius // 2 - f) for f in range(radius // 2 + 1)])[used]
+        total = np.cumsum(cost)
+        opens = np.flatnonzero(np.r_[True, lows[1:] != lows[:-1]])
+        ends = np.r_[opens[1:], len(lows)]
+        at = 0
+        while at < len(opens):
+            spent = total[opens[at]] - cost[opens[at]]
+            stop = max(at + 1, int(np.searchsorted(total[ends - 1], spent + VARIANTS, side="right")))
+            yield lows[opens[at] : ends[stop - 1]], fps[opens[at] : ends[stop - 1]]
+            at = stop
+
+    def emit(held: list[tuple[bytes, bytes]]):
+        lows, fps = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held, strict=True), (np.uint32, np.uint64), strict=True))
+        found = [meetings(x, y, low, radius) for x, y in steps(lows, fps)]
+        a, b = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+        if len(a):
+            a, b = contract(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for bucket, fps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for bucket, lows, fps in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != now and held:
-                    yield from emit(now, held)
+                    yield from emit(held)
                     held = []
                 now = bucket
-                held.append(fps)
+                held.append((lows, fps))
         if held:
-            yield from emit(now, held)
+            yield from emit(held)
 
     return run
 
 
-def packed_links(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """Distinct links (a, b) between the values of the single column of fps, which may
-    repeat: those of spanning forests on the pigeonhole keys. Of two rows with one value
-    a link to itself or links to others result. Tasks deal 8 bytes a value and key, in
-    packets, and only values with another one near them in a run reach the forests."""
-    per = max(1, -(-fps.count() // BUCKET))
-    dealt = fps.mapInArrow(_deal(radius, blocks, per), "bucket long, fps binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_packed(radius, blocks, per), LINKS).distinct()
+def ball_links(fps: DataFrame, radius: int, count: int) -> DataFrame:
+    """Links (a, b) that connect the distinct values of the single column of fps, about `count`
+    of them, that differ in at most `radius` bits, an even number."""
+    if radius % 2 or not 0 <= radius <= 8:
+        raise ValueError("radius must be 0, 2, 4, 6 or 8")
+    per = max(1, -(-count * ball_size(64, radius // 2) // BUCKET))
+    low = min(32, max(LOW, per.bit_length() + 4))
+    dealt = fps.mapInArrow(_deal(low, radius, per), "bucket long, lows binary, fps binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet(low, radius), LINKS)

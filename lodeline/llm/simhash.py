@@ -2,9 +2,8 @@
 
 A fingerprint has 64 bits; bit i is set if bit i is set in over half of the
 XXH64 hashes (seed 42) of the text's 4-word shingles. Equal fingerprints are
-joined first, so that a group of copies counts once. See hamming.ball_keys for
-the variants; each colliding run is verified on all 64 bits and linked as a
-spanning forest, and components() takes the transitive closure.
+joined first, so that a group of copies counts once. See hamming for the balls of
+all 64 bits; each meeting is verified, and components() takes the transitive closure.
 
 Defined cases: null and empty texts and texts of white space have fingerprint
 zero and link with each other; texts of fewer than four words have one shingle,
@@ -24,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FINGERPRINT_WORDS, as_bytes, checkpoint, small, table
+from .common import FINGERPRINT_WORDS, as_bytes, checkpoint, small, table, worker_cache
 from .components import components
-from .hamming import ball_keys, links_in_buckets
+from .hamming import ball_links
 
 RADIUS = 4
 SEED = 42
@@ -62,6 +61,7 @@ def fingerprint(data: bytes, n: int = FINGERPRINT_WORDS) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_cache("simhash", dict)  # drops what earlier stages keep
     for batch in batches:
         found = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
@@ -75,9 +75,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     marked = checkpoint(fingerprints(docs))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    buckets = distinct.select("fp", ball_keys(F.col("fp"), radius).alias("key"))
-    nodes = checkpoint(components(links_in_buckets(buckets, radius)))
+    distinct = checkpoint(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    nodes = checkpoint(components(ball_links(distinct.select("fp"), radius, distinct.count())))
     linked = nodes.join(distinct.withColumnRenamed("fp", "node"), "node")
     names = linked.groupBy("component").agg(F.min("first").alias("name"))
     named = nodes.join(names, "component").select(F.col("node").alias("fp"), "name")
