@@ -1,8 +1,8 @@
 """Best-fit packing with swap-based local search.
 
 Texts are tokenised (every run between white space once per worker; its ids
-are kept in a bounded cache as little-endian bytes), an end id is appended, and
-only longer documents are cut. Pieces are dealt by a hash of a row number into
+are kept in a bounded table, from which a group of texts is put together at once), an
+end id is appended, and only longer documents are cut. Pieces are dealt by a hash of a row number into
 shards of about SHARD pieces, so no document, source or copy group can make a
 shard large. Each shard is packed best-fit decreasing and then improved: the
 emptiest bins give documents away by moves, one-for-one and two-for-one
@@ -21,15 +21,14 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
-from struct import pack
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpoint, table
+from .common import as_bytes, checkpoint, table, worker_cache
 from .tokens import public_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,16 +37,38 @@ END = 0
 SHARD = 8192
 #: Emptiest bins that the local search tries to dissolve at a time, and its rounds.
 DONORS, ROUNDS = 32, 8
-CACHE = 600_000
-#: How the vocabulary marks a token that ends a word.
-WORD_END = "</w>"
+#: Words whose ids a worker keeps, and their bytes together.
+CACHE, CACHE_BYTES = 600_000, 1 << 25
 #: Latin letters and marks after them: the tokenizer parts them, so each is encoded once.
 LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+"
 ENDED = re.compile(rb"(" + LETTERS + rb")([.,;:!?*#$%&|]+)")
 WORD = re.compile(LETTERS)
+#: The one of these letters that is more than one when lower-cased.
+TWOFOLD = "İ".encode()
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class _Index(dict):
+    """Numbers of words in the order in which they are first asked for; `new` has those without ids yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self)
+        self.new.append(word)
+        return i
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable Latin-1
+    stands for itself, the other bytes for the code points from 256 in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b if b in plain else next(other)) for b in range(256)]
+
+
 class Ids:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
@@ -56,53 +77,82 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-        #: Cached words that a later group of texts held too: these outlive a full cache.
-        self.again: set[bytes] = set()
-        #: Whether an id ends a word, by id; empty if the vocabulary doesn't mark ends.
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith(WORD_END)
-
-    def encode(self, words: list[bytes]) -> list[bytes]:
+        letters = byte_letters()
+        self.letters = {i: x for i, x in enumerate(letters)}
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.bytes, self.used = _Index(), 0, 0
+        self.flat = np.empty(1 << 16, "<u4")
+        self.start, self.size, self.seen = (np.zeros(1 << 16, np.int32) for _ in range(3))
+
+    def encode(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word, encoded apart."""
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [pack(f"<{len(e.ids)}I", *e.ids) for e in found]
-
-    def encode_letters(self, words: list[bytes]) -> list[bytes]:
-        """The ids of words of letters alone: each is one word to the tokenizer, so many
-        are encoded as one text and parted at the ids that end a word. Each has at least
-        one such id, so if there are as many as words, they part the words rightly."""
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
-        stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(stops) != len(words) or stops[-1] != 4 * len(ids):
-            return self.encode(words)
-        data = ids.tobytes()
-        stops = stops.tolist()
-        return [data[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
-
-    def learn(self, texts: list[list[bytes]]) -> None:
-        cache = self.cache
-        held = set().union(*texts)
-        new = held.difference(cache)
-        self.again.update(held - new)
-        if len(cache) + len(new) > CACHE:
-            keep = {w: cache[w] for w in self.again} if len(self.again) < CACHE // 2 else {}
-            cache.clear()
-            cache.update(keep)
-            self.again.clear()
-            new = held.difference(cache)
-        split = {w: m.groups() for w in new if not w.isalpha() and (m := ENDED.fullmatch(w))}
-        plain = new.difference(split)
-        plain.update(x for pair in split.values() for x in pair if x not in cache)
-        letters = [w for w in plain if w.isalpha() or WORD.fullmatch(w)]
-        others = [*plain.difference(letters)]
-        for words, encode in ((letters, self.encode_letters), (others, self.encode)):
-            for at in range(0, len(words), 4096):
-                some = words[at : at + 4096]
-                cache.update(zip(some, encode(some), strict=True))
-        for w, (body, tail) in split.items():
-            cache[w] = cache[body] + cache[tail]
+        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def encode_letters(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of words of letters alone: each is one word to the tokenizer, so its
+        model takes their lower-cased bytes without another search for words."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        return [[t.id for t in tokenize(w.decode().lower().encode().decode("latin-1").translate(letters))] for w in words]
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the numbered words one after the other, where each word's end)."""
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.start[numbers] - (ends - sizes), sizes) + np.arange(total)], ends
+
+    def put(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Keep the ids of the numbered words, given one after the other."""
+        if (need := self.used + len(ids)) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * need)
+        if (most := len(self.index)) > len(self.start):
+            self.start, self.size, self.seen = (np.concatenate([x, np.zeros(2 * most - len(x), np.int32)]) for x in (self.start, self.size, self.seen))
+        self.flat[self.used : need] = ids
+        self.start[numbers] = self.used + np.cumsum(sizes) - sizes
+        self.size[numbers] = sizes
+        self.used = need
+
+    def learn(self) -> None:
+        """Ids of the new words."""
+        new, first = self.index.new, len(self.index) - len(self.index.new)
+        ended: dict[int, tuple[int, int]] = {}
+        for k, w in enumerate(new):  # bodies and ends of words join the list behind
+            if not w.isalpha() and (m := ENDED.fullmatch(w)):
+                ended[k] = self.index[m[1]], self.index[m[2]]
+        self.bytes += sum(map(len, new))
+        plain = [k for k in range(len(new)) if k not in ended]
+        letters = [k for k in plain if new[k].isalpha() or (WORD.fullmatch(new[k]) and TWOFOLD not in new[k])]
+        others = sorted(set(plain).difference(letters))
+        for places, encode in ((letters, self.encode_letters), (others, self.encode)):
+            for at in range(0, len(places), 4096):
+                some = places[at : at + 4096]
+                ids = encode([new[k] for k in some])
+                self.put(np.array(some) + first, np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)))
+        if ended:
+            parts = np.array([*ended.values()], np.int64)
+            ids, _ = self.gather(parts.reshape(-1))
+            self.put(np.array([*ended]) + first, ids, self.size[parts].sum(axis=1))
+        new.clear()
+
+    def shrink(self) -> None:
+        """Keep the words that were seen most, at most half as many as the table holds."""
+        n, least = len(self.index), 2
+        while (often := np.flatnonzero(self.seen[:n] >= least)).size > CACHE // 2:
+            least *= 2
+        words = [*self.index]
+        words = [words[i] for i in often]
+        ids, sizes, seen = self.gather(often)[0], self.size[often], self.seen[often]
+        self.clear()
+        if sum(map(len, words)) > CACHE_BYTES // 2:
+            return
+        for w in words:
+            self.index[w]
+        self.index.new.clear()
+        self.bytes = sum(map(len, words))
+        self.put(np.arange(len(words)), ids, sizes)
+        self.seen[: len(words)] = seen // 2
 
     def batches(self, texts: list[bytes], most: int = 1 << 20) -> Iterator[bytes]:
         """Ids of each text. White space parts the tokenizer's words, so runs between it
@@ -113,15 +163,23 @@ class Ids:
             group.append((text if b"<|" in text else text.lower()).split())
             size += len(text)
             if size >= most or i == len(texts) - 1:
-                self.learn(group)
-                for words in group:
-                    yield b"".join(map(self.cache.__getitem__, words))
+                if len(self.index) > CACHE or self.bytes > CACHE_BYTES:
+                    self.shrink()
+                counts = np.fromiter(map(len, group), np.int64, len(group))
+                numbers = np.fromiter(map(self.index.__getitem__, chain.from_iterable(group)), np.int64, counts.sum())
+                if self.index.new:
+                    self.learn()
+                found = np.bincount(numbers)
+                self.seen[: len(found)] = np.minimum(self.seen[: len(found)] + found, 1 << 30)
+                ids, ends = self.gather(numbers)
+                ends = np.r_[0, ends][np.cumsum(counts)].tolist()
+                for a, b in zip([0, *ends], ends):
+                    yield ids[a:b].tobytes()
                 group, size = [], 0
 
 
-@lru_cache(maxsize=2)
 def ids_of(path: str) -> Ids:
-    return Ids(path)
+    return worker_cache(f"packing {path}", lambda: Ids(path))
 
 
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, keep_ids: bool = False) -> DataFrame:
