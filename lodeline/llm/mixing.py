@@ -2,8 +2,8 @@
 
 The words of each source form one stream (documents ordered by hash bucket and
 id) that is cut into blocks of BLOCK words. The mix is a row of output shards of
-SHARD slots. Each shard draws its source counts from a multinomial over what the
-sources' quotas still hold, so quotas are met exactly at the end. The k-th slot
+SHARD slots. Source counts are drawn from multinomials over what the sources'
+quotas still hold, halving the row down to single shards, so quotas are met exactly. The k-th slot
 of a source in pass e (k divided by the number of its blocks) takes the block at
 place k of that pass's pseudorandom permutation of the source's block numbers;
 slots and documents meet in a join on (source, block). Quotas are in words: a
@@ -12,7 +12,8 @@ where it falls, and of its last slot only the words still missing.
 
 Prefix sums are taken per (source, hash bucket) and then over the buckets'
 totals, and the join key holds the block, so a source with most rows is spread.
-The driver sees one row per source and the shards' counts, no documents.
+The driver sees one row per source (about 100 bytes each), no documents; each task
+draws the counts of its own shards.
 
 Defined cases: a null or empty text has size 0 and takes nothing; a null source
 is a source of its own, last; a null doc_id orders first; repeated rows are
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, small, table
+from .common import WORD, checkpoint, small, table, worker_cache
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -114,17 +115,43 @@ def quota(words: int, size: int, block: int, source: int, seed: int = SEED) -> t
     return turn * n + slots, held(slots) - rest
 
 
+def split(left: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
+    """`take` slots out of `left` by source: multinomial, none overdrawn."""
+    got = np.zeros_like(left)
+    while (need := take - got.sum()) > 0:
+        room = left - got
+        got += np.minimum(rng.multinomial(need, room / room.sum()), room)
+    return got
+
+
+def draws(quotas: list[int], first: int, last: int, shard: int = SHARD, seed: int = SEED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(slots before, slots) by source for the output shards first to last - 1.
+
+    The quotas are halved down a binary tree over the shards, every node with a seed
+    of its own, so any task draws any range of shards in the tree's depth."""
+    every = np.array(quotas, np.int64)
+
+    def walk(a: int, b: int, left: np.ndarray, before: np.ndarray):
+        if b <= first or a >= last:
+            return
+        if b - a == 1:
+            yield before, left
+            return
+        mid = (a + b) // 2
+        got = split(left, (mid - a) * shard, np.random.default_rng((seed, a, b)))
+        yield from walk(a, mid, got, before)
+        yield from walk(mid, b, left - got, before + got)
+
+    yield from walk(0, shards(quotas, shard), every, np.zeros_like(every))
+
+
+def shards(quotas: list[int], shard: int = SHARD) -> int:
+    return -(-sum(quotas) // shard)
+
+
 def draw(quotas: list[int], shard: int = SHARD, seed: int = SEED) -> np.ndarray:
-    """Source counts per output shard: multinomial over the quotas left, none overdrawn."""
-    left, rng, rows = np.array(quotas, np.int64), np.random.default_rng(seed), []
-    while left.sum():
-        slots = min(shard, int(left.sum()))
-        got = np.zeros_like(left)
-        while (need := slots - got.sum()) > 0:
-            room = left - got
-            got += np.minimum(rng.multinomial(need, room / room.sum()), room)
-        rows.append(got)
-        left = left - got
+    """Source counts of every output shard."""
+    rows = [got for _, got in draws(quotas, 0, shards(quotas, shard), shard, seed)] if sum(quotas) else []
     return np.array(rows, np.int64).reshape(len(rows), len(quotas))
 
 
@@ -138,18 +165,28 @@ def sizes(docs: DataFrame) -> DataFrame:
     )
 
 
-def _slots(block_seed: int):
+def _slots(given: list[tuple[int, int]], blocks: list[int], shard: int = SHARD):
+    """The slots of the shards whose numbers come in: (source_no, block, turn, leaves)."""
+    quotas = [slots for slots, _ in given]
+
+    def of(source: int, first: int, count: int) -> Iterator[pa.RecordBatch]:
+        (slots, leaves), n = given[source], blocks[source]
+        k = np.arange(first, first + count, dtype=np.int64)
+        for turn in np.unique(k // n):
+            some = k[k // n == turn] % n
+            found = permute(some, n, (SEED, source, int(turn)))
+            left = np.where((some == (slots - 1) % n) & (turn == (slots - 1) // n), leaves, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), source, np.int32)), pa.array(found), pa.array(np.full(len(found), turn, np.int32)), pa.array(left)], names=["source_no", "block", "turn", "leaves"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("mixing", dict)  # drops what earlier stages keep
         for batch in batches:
-            for source, first, count, n, slots, leaves in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                k = np.arange(first, first + count, dtype=np.int64)
-                for turn in np.unique(k // n):
-                    some = k[k // n == turn] % n
-                    blocks = permute(some, n, (block_seed, source, int(turn)))
-                    left = np.where((some == (slots - 1) % n) & (turn == (slots - 1) // n), leaves, 0)
-                    for at in range(0, len(blocks), 1 << 16):
-                        part = blocks[at : at + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), source, np.int32)), pa.array(part), pa.array(np.full(len(part), turn, np.int32)), pa.array(left[at : at + (1 << 16)])], names=["source_no", "block", "turn", "leaves"])
+            numbers = batch.column(0).to_numpy()
+            for run_of in np.split(numbers, np.flatnonzero(np.diff(numbers) != 1) + 1):
+                if len(run_of):
+                    for before, got in draws(quotas, int(run_of[0]), int(run_of[-1]) + 1, shard):
+                        for source in np.flatnonzero(got).tolist():
+                            yield from of(source, int(before[source]), int(got[source]))
 
     return run
 
@@ -165,16 +202,11 @@ def plan(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     goal = targets(source_sizes)
     blocks = [-(-n // block) for n in source_sizes]
     given = [quota(min(round(t), int(MOST * n)), n, block, i) for i, (t, n) in enumerate(zip(goal, source_sizes, strict=True))]
-    quotas = [slots for slots, _ in given]
     info = spark.createDataFrame([(r["source"], i, r["size"], float(t)) for i, (r, t) in enumerate(zip(found, goal, strict=True))], "source string, source_no int, source_size long, target double")
-    drawn = draw(quotas)
-    before = np.cumsum(drawn, axis=0) - drawn
-    shard_no, source_no = np.nonzero(drawn)
-    of = lambda values: pa.array(np.array(values, np.int64)[source_no] if len(source_no) else np.empty(0, np.int64))
-    counts = pa.table({"source_no": pa.array(source_no.astype(np.int32)), "first": pa.array(before[shard_no, source_no]), "count": pa.array(drawn[shard_no, source_no]), "n": of(blocks), "slots": of(quotas), "leaves": of([x for _, x in given])})
-    slots = spark.createDataFrame(counts).mapInArrow(_slots(SEED), "source_no int, block long, turn int, leaves long")
-
-    rows = held.join(F.broadcast(info), held["source"].eqNullSafe(info["source"])).drop(info["source"])
+    number = shards([slots for slots, _ in given])
+    slots = spark.range(0, number, 1, max(1, min(number, spark.sparkContext.defaultParallelism * 8))).mapInArrow(_slots(given, blocks), "source_no int, block long, turn int, leaves long")
+
+    rows = held.join(small(info), held["source"].eqNullSafe(info["source"])).drop(info["source"])
     spread = rows.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "key"), F.lit(BUCKETS)))
     totals = spread.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -186,7 +218,7 @@ def plan(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
         .select("row", "source_no", "source_size", "size", (F.col("start") + F.col("base")).alias("start"))
     )
     parts = placed.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
-    # The slots come from a small local table, so their size is underestimated: never broadcast them.
+    # The slots come from a range of shard numbers, so their size is underestimated: never broadcast them.
     # A source's last block ends with its words, so the words to leave are counted from there.
     parts = parts.withColumn("end", F.least(F.col("source_size"), (F.col("block") + 1) * block))
     takes = parts.join(slots.hint("merge"), ["source_no", "block"]).select(
