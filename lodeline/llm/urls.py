@@ -7,8 +7,8 @@ boundary marks. Scoring is one pass without a shuffle.
 
 Defined cases: a null url, or one without ://, has an empty host and path; no
 rule fits an empty host, and the model allows it (no n-gram speaks against it).
-Ties in the score (exactly 0.5) allow. Repeated rows come back each; other
-columns are not read.
+Ties in the score (exactly 0.5) allow. Repeated rows come back each, a null page_id
+stays null, urls of any length are scored whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,21 +37,36 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 
-#: The labelled URL table's parts: invented hosts and paths that are wanted or not.
-BAD_HOSTS = "spam-farm cheap-pills ads-track casino-win free-bets adult-x best-casino online-pills adult-cams free-casino poker-win track-ads spam-links bets-now cheap-meds x-adult win-prizes pills-shop adserver spam-mail".split()
-GOOD_HOSTS = "river-notes garden-club history open-library weather daily-news science-blog recipes city-council museum school atlas theatre thering thanth rether tionst ounder hather ingred winter farmers trackside adults-education freedom pillow cinema casing betterment".split()
+#: The labelled URL table's parts: invented names and paths that are unwanted or wanted, by subject.
+BAD_HOSTS = """spamhub spam-mail bulk-spam spammy-links farm-links linkfarm pills-shop online-pills buypills pillsdirect cheap-meds cheapdrugs cheap-deals
+ads-server adserver click-ads ads-net adsdaily tracker-ads trackpixel track-clicks casino-royal bestcasino casino777 live-casino luckycasino win-prizes winbig
+bigwin-now free-casino free-spins freebies-now free-money bets-now sportbets bets365 quickbets betsking adult-cams adultdate adult-videos xadult x-videos xxx-adult""".split()
+GOOD_HOSTS = """river-notes garden-club history open-library weather daily-news science-blog recipes city-council museum school atlas theatre thanth rether
+ingrown winterfarm farmers farmhouse old-farm trackside racetrack railtrack adults-education adulthood freedom freehold carefree pillow pillar caterpillar cinema
+casing cascade betterment alphabets alphabet tibet window winery twine cheaper-by-dozen spamalot-theatre xavier exams adsorption downloads roads
+monthly thesis theory mothers brothers earth northern southern lighthouse fourth thousand thirty thread threshold method anthology hearth wealth health
+growth youth truth months others whether gather feather leather rather together hourly timely thistle ethics rhythm stations nations actions theatres honest
+western eastern stones hundred wonder thunder thinner inner outer onion tension edition reason season person lesson heron heather teasing reading answer""".split()
+BAD_PATHS = """/casino/bonus /free-bets/today /buy/cheap-pills /win/free-prizes /adult/cams /click/ads?id /bonus-bets/casino /pills/order-now /spam/links /free-pills/offer""".split()
+GOOD_PATHS = """/en/12 /de/345.html /fr/67/ /es/890 /articles/gardens /history/of-rivers /news/2020/weather.html /library/books /about /articles/history""".split()
 ENDINGS = ("example.org", "example.com", "example.net")
 PREFIXES = ("", "www.", "blog.", "m.")
-PATHS = ("/en/12", "/de/345.html", "/fr/67/", "/es/890")
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, 1 = unwanted): every labelled host under a prefix and ending of its own."""
+    """(host, path, 1 = unwanted). Each name has hosts of its own under several prefixes and endings; unwanted
+    ones have plain and unwanted paths, and some neutral hosts tell by the path alone."""
     out = []
     for label, hosts in ((1, BAD_HOSTS), (0, GOOD_HOSTS)):
         for i, host in enumerate(hosts):
             for j in range(4):
-                out.append((f"{PREFIXES[(i + j) % 4]}{host}.{ENDINGS[(i + j) % 3]}", PATHS[(i + j) % 4], label))
+                bad = label and j == 3
+                paths = BAD_PATHS if bad else GOOD_PATHS
+                out.append((f"{PREFIXES[(i + j) % 4]}{host}.{ENDINGS[(i + j) % 3]}", paths[(i + j) % len(paths)], label))
+    for i, (bad, good) in enumerate(zip(BAD_PATHS, GOOD_PATHS, strict=True)):
+        for k in range(3):
+            host = f"{PREFIXES[(i + k) % 4]}site{i * 3 + k}.{ENDINGS[k]}"
+            out += [(host, bad, 1), (host, good, 0)]
     return out
 
 
@@ -64,10 +79,8 @@ def ngrams(host: str, path: str, bits: int = BITS) -> np.ndarray:
     return np.fromiter(found, np.int64, len(found))
 
 
-@lru_cache(maxsize=1)
-def train() -> tuple[np.ndarray, float]:
+def fit(rows: list[tuple[str, str, int]]) -> tuple[np.ndarray, float]:
     """Full-batch gradient descent with a ridge; deterministic."""
-    rows = labelled_urls()
     index = [ngrams(h, p) for h, p, _ in rows]
     y = np.array([label for _, _, label in rows], float)
     flat, owner = np.concatenate(index), np.repeat(np.arange(len(rows)), [len(i) for i in index])
@@ -81,12 +94,17 @@ def train() -> tuple[np.ndarray, float]:
     return w, bias
 
 
-def score(host: str, path: str) -> float:
+@lru_cache(maxsize=1)
+def train() -> tuple[np.ndarray, float]:
+    return fit(labelled_urls())
+
+
+def score(host: str, path: str, model: tuple[np.ndarray, float] | None = None) -> float:
     """Chance that a URL is unwanted; 0 for an empty host and path."""
     index = ngrams(host, path)
     if not len(index):
         return 0.0
-    w, bias = train()
+    w, bias = model or train()
     return float(1 / (1 + np.exp(-(w[index].sum() / np.sqrt(len(index)) + bias))))
 
 
