@@ -23,6 +23,12 @@ def passages(docs: DataFrame, limit: int = PASSAGE_LIMIT) -> DataFrame:
     return each.select("doc_id", "idx", F.when(F.length(both) <= limit, both).otherwise(F.col("sentence")).alias("text"))
 
 
+def evidence(rows: DataFrame, locator: list[str], text, distance, needed: str, excerpt: int = 500) -> DataFrame:
+    """rows with locator, excerpt and score = 1 / (1 + distance); rows without the needed column are skipped."""
+    found = {"locator": F.concat_ws(", ", *locator), "excerpt": F.substring(text, 1, excerpt), "score": F.bround(1 / (1 + distance), 4)}
+    return rows.where(F.col(needed).isNotNull()).withColumns(found)
+
+
 def postings(rows: DataFrame) -> DataFrame:
     """(term, doc_id, idx), once per passage."""
     return rows.select("doc_id", "idx", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))

@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeline.functions import geo, text
 from lodeline.operators import chunks, extraction, ordering, retrieval, spatial
+from lodeline.plans import predicates, registry, relations  # noqa: F401
+from lodeline.plans.registry import Query, query, table
 from lodeline.sources import readers
 from lodeline.streaming import ingest
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _queries[f.__name__] = f
-        if sql is not None:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # Retrieval
 
 #: (query, term, weight): core terms weigh 1, generic ones a quarter.
@@ -619,8 +600,8 @@ def hourly_windows(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return dict(registry.found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return dict(registry.oracle)
