@@ -17,6 +17,11 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(joined, r"[ \t\r\n\f]+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+\z", "")
+
+
 def quality(text: Column, least: int = 40, most_bad: float = 0.03) -> Column:
     """empty, poor (too many control or replacement characters) or good."""
     size = F.length(F.trim(text))
@@ -65,3 +70,68 @@ def roman_value(text: Column) -> Column:
     step = lambda a, c: F.struct((a["total"] + worth[c] - F.when(a["last"] < worth[c], 2 * a["last"]).otherwise(0)).alias("total"), worth[c].alias("last"))
     canonical = F.upper(text).rlike("^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$") & (F.length(text) > 0)
     return F.when(canonical, F.aggregate(letters, start, step)["total"])
+
+
+#: Latin letters with marks and the letters below them; ligatures become two letters.
+MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
+def folded(text: Column, gap: str = " ") -> Column:
+    """Lower case with each marked letter as its base letter and `gap` in the place of the
+    mark, which separates tokens; æ and œ are two letters."""
+    low = F.replace(F.replace(F.lower(text), F.lit("æ"), F.lit("ae")), F.lit("œ"), F.lit("oe"))
+    marked = F.regexp_replace(low, f"([{MARKED}])", f"$1{gap}") if gap else low
+    return F.translate(marked, MARKED, PLAIN)
+
+
+def folded_tokens(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(folded(text), F.lit("[a-z0-9]+"), 0))
+
+
+def surface_key(text: Column) -> Column:
+    """Folded without gaps, spaces collapsed, one spelling of a first name."""
+    return F.regexp_replace(F.trim(F.regexp_replace(folded(text, ""), r"\s+", " ")), r"\bcaius\b", "gaius")
+
+
+def terms(text: Column, stop: list[str], synonyms: dict[str, str] | None = None) -> Column:
+    """Words of three letters and more without stop words, synonyms folded to one term, in order."""
+    words = F.filter(F.regexp_extract_all(folded(text), F.lit("[a-z][a-z']{2,}"), 0), lambda w: ~w.isin(*stop))
+    if not synonyms:
+        return words
+    known = F.create_map(*[F.lit(x) for pair in synonyms.items() for x in pair])
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w))
+
+
+def bigrams(words: Column) -> Column:
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def names(text: Column, first: int | None = None) -> Column:
+    """Capitalised words of three letters and more, lower-cased and once; of the first words alone if so given."""
+    head = F.array_join(F.slice(F.split(F.trim(text), r"\s+"), 1, first), " ") if first else text
+    return F.array_distinct(F.transform(F.regexp_extract_all(head, F.lit(r"\b[A-Z][A-Za-z']{2,}"), 0), F.lower))
+
+
+def match_key(text: Column) -> Column:
+    """Lower case without anything but letters, digits and underscores."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]", "")
+
+
+def distinct_words(text: Column) -> Column:
+    """Words once, whatever their case, each as it is first written, in order."""
+    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    low = F.transform(words, F.lower)
+    return F.array_join(F.filter(words, lambda w, i: F.array_position(low, F.lower(w)) == i + 1), " ")
+
+
+def name_forms(name: Column) -> Column:
+    """The forms of a place's name: without a note in brackets at its end, parted at commas."""
+    bare = F.regexp_replace(name, r"\s*\([^()]*\)\s*$", "")
+    return F.array_distinct(F.filter(F.transform(F.split(bare, ","), lambda x: F.trim(x)), lambda x: x != ""))
+
+
+#: What ends a sentence, and abbreviations after whose full stop none ends.
+BREAK = r"[.!?][\"'’”»)]*\s+"
+ABBREVIATED = r"(?i)(?:\b(?:Mr|Mrs|Ms|Dr|cons|cos|ch|chap)\.|(?:\b[A-Z]\.)+|\b[IVXLCDM]+\.)\z"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeline.functions import geo, text
 from lodeline.operators import chunks, extraction, ordering, retrieval, spatial
-from lodeline.plans import predicates, registry, relations  # noqa: F401
+from lodeline.plans import facts, predicates, registry, relations  # noqa: F401
 from lodeline.plans.registry import Query, query, table
 from lodeline.sources import readers
 from lodeline.streaming import ingest
@@ -166,16 +166,16 @@ def prefixed_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.with_prefix(F.col("text"), "passage: ")).alias("prefixed"))
 
 
-@query("""WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 3400)) AS start FROM documents WHERE length(text) > 0), c AS (
-  SELECT doc_id, start, least(length(text), start + 4000) AS stop, trim(text[start + 1:start + 4000]) AS t FROM s
-) SELECT doc_id, start, stop AS "end", t AS text, sha256(doc_id || ':' || start || ':' || stop || ':' || t)[:24] AS chunk_id FROM c WHERE t <> ''""")
+@query(r"""WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 3400)) AS start FROM documents WHERE length(text) > 0), c AS (
+  SELECT doc_id, start, least(length(text), start + 4000) AS stop, regexp_replace(text[start + 1:start + 4000], '^\s+|\s+$', '', 'g') AS t FROM s
+) SELECT doc_id, start, stop AS "end", t AS text, sha256(doc_id || ':' || start || ':' || t)[:24] AS chunk_id FROM c WHERE t <> ''""")
 def fixed_chunks(spark, sf_dir):
     return chunks.chunks(table(spark, sf_dir, "documents"))
 
 
-@query("""WITH s AS (SELECT source, doc_id, text, unnest(range(0, length(text), 300)) AS start FROM documents WHERE length(text) > 0), c AS (
-  SELECT source, doc_id, start, least(length(text), start + 400) AS stop, trim(text[start + 1:start + 400]) AS t FROM s
-), n AS (SELECT source, length(t) AS n, sha256(doc_id || ':' || start || ':' || stop || ':' || t)[:24] AS id FROM c WHERE t <> '')
+@query(r"""WITH s AS (SELECT source, doc_id, text, unnest(range(0, length(text), 300)) AS start FROM documents WHERE length(text) > 0), c AS (
+  SELECT source, doc_id, start, least(length(text), start + 400) AS stop, regexp_replace(text[start + 1:start + 400], '^\s+|\s+$', '', 'g') AS t FROM s
+), n AS (SELECT source, length(t) AS n, sha256(doc_id || ':' || start || ':' || t)[:24] AS id FROM c WHERE t <> '')
 SELECT source, count(*) AS chunks, min(n) AS shortest, list_sort(list(n))[round_even((count(*) - 1) * 0.5, 0)::INT + 1] AS middle, list_sort(list(n))[round_even((count(*) - 1) * 0.95::DOUBLE, 0)::INT + 1] AS p95, max(n) AS longest,
   CAST(sum(CASE WHEN n > 4000 THEN 1 ELSE 0 END) AS BIGINT) AS oversized, count(*) - count(DISTINCT id) AS duplicate_ids FROM n GROUP BY source""")
 def chunk_profile(spark, sf_dir):
@@ -337,12 +337,12 @@ def best_edges(spark, sf_dir):
     return ordering.best_edges(_edges(spark, sf_dir))
 
 
-@query(f"""WITH s AS ({_STEPS}), e AS (SELECT user_id * 10 + ascii(src) AS src, user_id * 10 + ascii(dst) AS dst, min(length(src)) AS priority FROM s GROUP BY 1, 2)
+@query(f"""WITH s AS ({_STEPS}), e AS (SELECT user_id || ':' || src AS src, user_id || ':' || dst AS dst, min(length(src)) AS priority FROM s GROUP BY ALL)
 SELECT e.src, e.dst, CAST(e.priority AS INT) AS priority FROM e LEFT JOIN e r ON e.src = r.dst AND e.dst = r.src WHERE r.src IS NULL OR e.priority < r.priority""")
 def reverse_conflicts(spark, sf_dir):
     """Of opposite edges the better one stays, none if equal."""
     steps = ordering.consecutive(table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id"), "user_id", ["ts", "event_id"], "event_type")
-    node = lambda c: F.col("user_id") * 10 + F.ascii(c)
+    node = lambda c: F.concat_ws(":", "user_id", c)
     edges = steps.select(node("src").alias("a"), node("dst").alias("b"), F.length("src").alias("p")).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.min("p").alias("priority"))
     return ordering.drop_reversed(edges)
 
@@ -423,10 +423,10 @@ def radius_join(spark, sf_dir):
     return found.select("point_id", "target_id", F.round("distance", 3).alias("distance"))
 
 
-@query(f"SELECT a.id AS point_id, round(min({_HAVERSINE}), 3) AS distance FROM {_points_sql('customer', 'c_custkey')} a, {_points_sql('supplier', 's_suppkey')} b GROUP BY a.id")
+@query(f"SELECT point_id, target_id, round(d, 3) AS distance FROM (SELECT a.id AS point_id, b.id AS target_id, {_HAVERSINE} AS d, row_number() OVER (PARTITION BY a.id ORDER BY round({_HAVERSINE}, 6), b.id) AS n FROM {_points_sql('customer', 'c_custkey')} a, {_points_sql('supplier', 's_suppkey')} b) WHERE n = 1")
 def nearest_neighbour(spark, sf_dir):
     found = spatial.nearest(_points(spark, sf_dir, "customer", "c_custkey"), _points(spark, sf_dir, "supplier", "s_suppkey"))
-    return found.select("point_id", F.round("distance", 3).alias("distance"))
+    return found.select("point_id", "target_id", F.round("distance", 3).alias("distance"))
 
 
 @query(f"""WITH p AS (SELECT c_nationkey AS n, id, lon, lat, row_number() OVER (PARTITION BY c_nationkey ORDER BY id) AS r FROM customer JOIN {_points_sql('customer', 'c_custkey')} ON id = c_custkey)
@@ -437,13 +437,15 @@ def route_lengths(spark, sf_dir):
     return spatial.leg_lengths(rows.withColumnRenamed("id", "pos"), "route").select("route", "legs", F.round("metres", 1).alias("metres"))
 
 
-@query("""SELECT p_partkey, round(degrees(x / 6378137.0::DOUBLE), 6) AS lon, CASE WHEN rise <= 0.05 THEN 0 WHEN rise <= 0.15 THEN 1.5 * d ELSE 5 * d END AS cost, round(0.32 * s * s * (3 - 2 * s), 6) AS bonus
-FROM (SELECT p_partkey, p_retailprice * 1000 AS x, CAST(p_size AS DOUBLE) AS d, (p_partkey % 20)::DOUBLE / p_size AS rise, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((p_partkey % 100) / 100.0::DOUBLE - 0.75::DOUBLE) / 0.03::DOUBLE)) AS s FROM part)""")
+@query("""WITH RECURSIVE m AS (SELECT p_partkey, exp(-p_retailprice * 900 / 6378137.0::DOUBLE) AS t FROM part), r(p_partkey, t, phi, n) AS (SELECT p_partkey, t, pi() / 2 - 2 * atan(t), 0 FROM m
+UNION ALL SELECT p_partkey, t, pi() / 2 - 2 * atan(t * pow((1 - 0.0818191908426215::DOUBLE * sin(phi)) / (1 + 0.0818191908426215::DOUBLE * sin(phi)), 0.0818191908426215::DOUBLE / 2)), n + 1 FROM r WHERE n < 8)
+SELECT p_partkey, round(degrees(x / 6378137.0::DOUBLE), 6) AS lon, round(degrees(phi), 6) AS lat, CASE WHEN rise <= 0.05 THEN 0 WHEN rise <= 0.15 THEN 1.5 * d ELSE 5 * d END AS cost, round(0.32 * s * s * (3 - 2 * s), 6) AS bonus
+FROM (SELECT p_partkey, p_retailprice * 1000 AS x, CAST(p_size AS DOUBLE) AS d, (p_partkey % 20)::DOUBLE / p_size AS rise, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((p_partkey % 100) / 100.0::DOUBLE - 0.75::DOUBLE) / 0.03::DOUBLE)) AS s FROM part) JOIN (SELECT p_partkey, phi FROM r WHERE n = 8) USING (p_partkey)""")
 def cost_columns(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    lon, _ = geo.mercator_to_degrees(F.col("p_retailprice") * 1000, F.col("p_retailprice") * 900)
+    lon, lat = geo.mercator_to_degrees(F.col("p_retailprice") * 1000, F.col("p_retailprice") * 900)
     cost = geo.slope_cost(F.col("p_size").cast("double"), (F.col("p_partkey") % 20).cast("double"))
-    return p.select("p_partkey", F.round(lon, 6).alias("lon"), cost.alias("cost"), F.round(geo.smoothstep_bonus((F.col("p_partkey") % 100) / 100.0), 6).alias("bonus"))
+    return p.select("p_partkey", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"), cost.alias("cost"), F.round(geo.smoothstep_bonus((F.col("p_partkey") % 100) / 100.0), 6).alias("bonus"))
 
 
 @query()
@@ -467,7 +469,11 @@ def _sentences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("sentence"))
 
 
-@query(rf"""WITH s AS ({_SENTENCES}), a AS (SELECT doc_id, regexp_replace(sentence, '(?i)\b(?:{_UNASSERTED})\s+(?:{_SEA}|{_LAND})\b', ' ', 'g') AS t FROM s),
+# In the SQL, whose word characters are ASCII alone, letters beyond ASCII become "_".
+_PLAIN = rf"SELECT doc_id, regexp_replace(sentence, '[^\P{{L}}A-Za-z]', '_', 'g') AS sentence FROM ({_SENTENCES})"
+
+
+@query(rf"""WITH s AS ({_PLAIN}), a AS (SELECT doc_id, regexp_replace(sentence, '(?i)\b(?:{_UNASSERTED})\s+(?:{_SEA}|{_LAND})\b', ' ', 'g') AS t FROM s),
 f AS (SELECT doc_id, regexp_matches(t, '(?i)\b(?:{_SEA})\b') AS wet, regexp_matches(t, '(?i)\b(?:{_LAND})\b') AS dry FROM a)
 SELECT doc_id, CASE WHEN wet AND NOT dry THEN 'SEA' WHEN dry AND NOT wet THEN 'LAND' ELSE 'UNKNOWN' END AS mode, count(*) AS n FROM f GROUP BY ALL""")
 def travel_modes(spark, sf_dir):
@@ -475,7 +481,7 @@ def travel_modes(spark, sf_dir):
     return _sentences(spark, sf_dir).groupBy("doc_id", mode.alias("mode")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(rf"""WITH s AS ({_SENTENCES}), f AS (SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(sentence, '(?i){chr(92)}b{p}') THEN '{n}'" for n, p in _TOLD)} END AS outcome
+@query(rf"""WITH s AS ({_PLAIN}), f AS (SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(sentence, '(?i){chr(92)}b{p}') THEN '{n}'" for n, p in _TOLD)} END AS outcome
 FROM s WHERE regexp_matches(sentence, '(?i)\b(?:[a-z]+ing|der)\b') AND NOT regexp_matches(sentence, '(?i)\b(?:clown)\b'))
 SELECT doc_id, outcome, count(*) AS n FROM f WHERE outcome IS NOT NULL GROUP BY ALL""")
 def movement_outcomes(spark, sf_dir):
@@ -496,12 +502,12 @@ def place_inventory(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT conv_id, turn, text, nullif(regexp_extract(text, '[A-Za-z]+', 0), '') AS destination FROM conversations),
-o AS (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[?]') THEN lag(destination) OVER (PARTITION BY conv_id ORDER BY turn) END AS origin FROM d)
+o AS (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?:^|[^A-Za-z])(?:of|that|der)(?:$|[^A-Za-z])') THEN lag(destination) OVER (PARTITION BY conv_id ORDER BY turn) END AS origin FROM d)
 SELECT conv_id, turn, origin FROM o WHERE origin IS NOT NULL""")
 def turn_continuation(spark, sf_dir):
     """After a cue the first word of the turn before is carried on."""
     named = table(spark, sf_dir, "conversations").withColumn("destination", F.nullif(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit("")))
-    return extraction.continuation(named, "conv_id", "turn", "destination", F.col("text").rlike("[?]")).where("origin is not null").select("conv_id", "turn", "origin")
+    return extraction.continuation(named, "conv_id", "turn", "destination", F.col("text").rlike("(?:^|[^A-Za-z])(?:of|that|der)(?:$|[^A-Za-z])")).where("origin is not null").select("conv_id", "turn", "origin")
 
 
 @query("""WITH g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT l_returnflag) AS p, count(DISTINCT l_linestatus) AS d, count(DISTINCT l_linenumber) AS q, string_agg(CAST(l_partkey AS VARCHAR), '>' ORDER BY l_linenumber, l_partkey) AS steps FROM lineitem GROUP BY 1)

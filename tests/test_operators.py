@@ -130,8 +130,8 @@ def test_ingestion_resumes(spark, tmp_path):
     ingest.upsert_stream(spark, source, "id long, v long", target, state).awaitTermination()
     got = {r.id: r.v for r in ingest.latest(spark, target).collect()}
     assert set(got) == {0, 1, 2, 3, 4} and got[0] == 9
-    states = spark.createDataFrame([(1, 0, "PENDING"), (1, 1, "RUNNING"), (1, 2, "COMPLETED"), (2, 0, "PENDING"), (2, 1, "COMPLETED")], "id int, n int, state string")
-    assert [(r.id, r.state) for r in ingest.illegal_changes(states, "id", ["n"]).collect()] == [(2, "COMPLETED")]
+    states = spark.createDataFrame([(1, 0, "pending"), (1, 1, "in_progress"), (1, 2, "completed"), (2, 0, "pending"), (2, 1, "completed")], "id int, n int, state string")
+    assert [(r.id, r.state) for r in ingest.illegal_changes(states, "id", ["n"]).collect()] == [(2, "completed")]
 
 
 def test_components_over_all_orders(spark, sf_dir):
