@@ -15,12 +15,26 @@ from lodeline.functions import text as T
 PASSAGE_LIMIT = 1200
 
 
+#: Rows of a side that is broadcast, at most.
+FEW = 100_000
+
+
+def few(df: DataFrame, limit: int = FEW) -> DataFrame:
+    """Hint a broadcast after counting up to the limit; beyond it the join shuffles."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def passages(docs: DataFrame, limit: int = PASSAGE_LIMIT) -> DataFrame:
-    """(doc_id, idx, text): sentence idx with the one before it, alone if both are too long."""
-    each = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("idx", "sentence")).where(F.trim("sentence") != "")
-    before = F.lag("sentence").over(Window.partitionBy("doc_id").orderBy("idx"))
-    both = F.concat(before, F.col("sentence"))
-    return each.select("doc_id", "idx", F.when(F.length(both) <= limit, both).otherwise(F.col("sentence")).alias("text"))
+    """(doc_id, idx, text): sentence idx with the one before it, alone if both are too long. A document's
+    sentences stay in one array, so nothing is shuffled; explode(array(...)) computes the array once a row."""
+    each = F.filter(F.transform(T.sentences(F.col("text")), lambda x, i: F.struct(i.alias("idx"), x.alias("s"))), lambda e: F.trim(e["s"]) != "")
+    listed = docs.select("doc_id", F.explode(F.array(each)).alias("e"))
+
+    def pair(e, j):
+        both = F.concat(F.get("e", j - 1)["s"], e["s"])
+        return F.struct(e["idx"].alias("idx"), F.when(F.length(both) <= limit, both).otherwise(e["s"]).alias("text"))
+
+    return listed.select("doc_id", F.explode(F.transform("e", pair)).alias("p")).select("doc_id", "p.idx", "p.text")
 
 
 def evidence(rows: DataFrame, locator: list[str], text, distance, needed: str, excerpt: int = 500) -> DataFrame:
@@ -42,11 +56,11 @@ def inverse_frequencies(hits: DataFrame, n: DataFrame) -> DataFrame:
 def lexical_scores(rows: DataFrame, query_terms: DataFrame) -> DataFrame:
     """(query_id, doc_id, idx, score): sum of weight x idf over the query's terms in a passage.
 
-    query_terms (query_id, term, weight) is a handful of rows; postings of other
-    terms never leave the scan."""
-    hits = postings(rows).join(F.broadcast(query_terms.select("term").distinct()), "term", "left_semi")
+    query_terms (query_id, term, weight) is broadcast if it is few() rows; postings of
+    other terms then never leave the scan."""
+    hits = postings(rows).join(few(query_terms.select("term").distinct()), "term", "left_semi")
     idf = inverse_frequencies(hits, rows.agg(F.count(F.lit(1)).alias("N")))
-    found = hits.join(F.broadcast(query_terms.join(idf, "term")), "term")
+    found = hits.join(few(query_terms.join(idf, "term")), "term")
     return found.groupBy("query_id", "doc_id", "idx").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))
 
 
@@ -87,6 +101,47 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, block: int = 51
     return top_k(pairs.mapInArrow(run, "query_id long, vec_id long, distance double"), "query_id", ["distance", "vec_id"], k)
 
 
+def index_vectors(vectors: DataFrame, cells: int = 64, sample: int = 20_000, rounds: int = 8, seed: int = 3) -> tuple[DataFrame, np.ndarray]:
+    """(vec_id, embedding, cell) of every vector, and the centres of the cells. The centres are fitted by k-means to a
+    bounded sample, the `sample` vectors with the least hash of their id; every row is assigned to its nearest centre."""
+    taken = vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
+    rows = np.array(taken["embedding"].to_pylist(), float)
+    centres = rows[np.random.default_rng(seed).permutation(len(rows))[: min(cells, len(rows))]] if len(rows) else np.zeros((0, 0))
+    for _ in range(rounds if len(rows) else 0):
+        mine = np.argmin((rows**2).sum(1)[:, None] - 2 * rows @ centres.T + (centres**2).sum(1), axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, mine, rows)
+        n = np.bincount(mine, minlength=len(centres))[:, None]
+        centres = np.where(n > 0, sums / np.maximum(n, 1), centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+            near = np.argmin((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1), axis=1) if batch.num_rows else np.empty(0, int)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32))], names=["vec_id", "embedding", "cell"])
+
+    typed = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    return typed.mapInArrow(run, "vec_id long, embedding array<double>, cell int"), centres
+
+
+def probe_index(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int = 40) -> DataFrame:
+    """(query_id, vec_id, distance, rank): the nearest vectors in the `probes` cells nearest to each query. A join on
+    the cell, split further by a hash of the vectors, so cost grows with a cell's share and no cell is one task."""
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+            if batch.num_rows:
+                order = np.argsort((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1), axis=1, kind="stable")[:, :probes]
+                rows = pa.array(np.repeat(np.arange(batch.num_rows), order.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(order.reshape(-1).astype(np.int32))], names=["query_id", "q", "cell"])
+
+    asked = queries.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(cells_of, "query_id long, q array<double>, cell int")
+    distance = F.aggregate(F.zip_with("q", "embedding", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+    met = asked.join(index, "cell").where("vec_id <> query_id").select("query_id", "vec_id", F.round(distance, 6).alias("distance"))
+    return top_k(met, "query_id", ["distance", "vec_id"], k)
+
+
 def merge_channels(semantic: DataFrame, lexical: DataFrame, keys: list[str]) -> DataFrame:
     """Full outer merge: semantic rows first in their order, then lexical ones; ranks from 1."""
     both = semantic.join(lexical, keys, "full_outer")

@@ -107,7 +107,7 @@ def hybrid_search(spark, sf_dir):
     counted = words.groupBy("doc_id", text.token_bucket(F.col("term")).alias("bucket")).agg(F.sum("n").alias("n"))
     wanted = terms.groupBy("query_id", text.token_bucket(F.col("term")).alias("bucket")).agg(F.count(F.lit(1)).alias("q"))
     per_doc = counted.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"), F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("v"))
-    scored = per_doc.select("doc_id", "norm", F.explode("v").alias("bucket", "n")).join(F.broadcast(wanted), "bucket")
+    scored = per_doc.select("doc_id", "norm", F.explode("v").alias("bucket", "n")).join(retrieval.few(wanted), "bucket")
     semantic = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("n") * F.col("q")) / F.first("norm"), 6).alias("s"))
     near = retrieval.top_k(semantic, "query_id", [F.desc("s"), "doc_id"], 60, "vector_rank").drop("s")
     return retrieval.merge_channels(near, lexical, ["query_id", "doc_id"]).fillna(-1, ["vector_rank", "lexical_rank"])
@@ -123,6 +123,14 @@ def vector_search(spark, sf_dir):
     return retrieval.vector_top_k(vectors, vectors.where("vec_id % 20 = 0"), 10)
 
 
+@query()
+def vector_index_search(spark, sf_dir):
+    """The same neighbours through an index of cells; tests measure its recall against the exact search."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index, centres = retrieval.index_vectors(vectors)
+    return retrieval.probe_index(index, centres, vectors.where("vec_id % 20 = 0"), 10)
+
+
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q, label AS want FROM embeddings WHERE vec_id % 20 = 0), d AS (
   SELECT query_id, want, vec_id, label, round(list_sum(list_transform(list_zip(q, embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))), 6) AS distance
   FROM q, embeddings WHERE vec_id <> query_id
@@ -189,11 +197,14 @@ def chunk_profile(spark, sf_dir):
   round(avg(CASE WHEN regexp_matches(text, '^[a-z]') THEN 1.0::DOUBLE ELSE 0 END), 4) AS lower_start, round(avg(CASE WHEN regexp_matches(text, '[^.!?]$') THEN 1.0::DOUBLE ELSE 0 END), 4) AS open_end,
   count(*) - count(DISTINCT text) AS exact_copies, round(quantile_cont(n_chars, 0.95), 4) AS p95_chars, round(median(n_chars), 4) AS median_chars FROM documents GROUP BY lang""")
 def corpus_audit(spark, sf_dir):
+    """Copies by two hashes of each text; percentiles from counts per length, so that no group's rows meet in one task."""
+    docs = table(spark, sf_dir, "documents")
     share = lambda p: F.round(F.avg(F.when(F.col("text").rlike(p), 1.0).otherwise(0.0)), 4)
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(
-        F.count(F.lit(1)).alias("documents"), F.count_distinct("source").alias("sources"), share("[0-9]").alias("with_digits"), share("^[a-z]").alias("lower_start"), share(r"[^.!?]\z").alias("open_end"),
-        (F.count(F.lit(1)) - F.count_distinct("text")).alias("exact_copies"), F.round(F.percentile("n_chars", 0.95), 4).alias("p95_chars"), F.round(F.median("n_chars"), 4).alias("median_chars"),
-    )
+    main = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("source").alias("sources"), share("[0-9]").alias("with_digits"), share("^[a-z]").alias("lower_start"), share(r"[^.!?]\z").alias("open_end"))
+    texts = docs.where("text is not null").select("lang", F.xxhash64("text").alias("h"), F.crc32(F.col("text").cast("binary")).alias("c")).groupBy("lang", "h", "c").agg(F.count(F.lit(1)).alias("n"))
+    copies = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("distinct"))
+    lengths = docs.groupBy("lang", "n_chars").agg(F.count(F.lit(1)).alias("n")).groupBy("lang").agg(F.round(F.percentile("n_chars", 0.95, F.col("n")), 4).alias("p95_chars"), F.round(F.percentile("n_chars", 0.5, F.col("n")), 4).alias("median_chars"))
+    return main.join(copies, "lang").join(lengths, "lang").withColumn("exact_copies", F.col("documents") - F.col("distinct")).drop("distinct")
 
 
 @query("""SELECT source, lang, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents JOIN labels USING (doc_id)
@@ -207,13 +218,16 @@ def label_histograms(spark, sf_dir):
 d AS (SELECT DISTINCT doc_id, w[i:i + 7] AS gram FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^ \\t\\n]+') AS w FROM documents), unnest(range(1, len(w) - 6)) AS u(i))
 SELECT item_id, doc_id, count(*) AS shared FROM (SELECT DISTINCT item_id, gram FROM g) JOIN d USING (gram) GROUP BY ALL""".replace("\\\\", "\\"))
 def passage_overlap(spark, sf_dir):
-    """Shared 8-word windows of benchmark items and documents; the items' windows are broadcast only if few."""
+    """Shared 8-word windows of benchmark items and documents, by two 64-bit hashes of each window; the items' are broadcast only if few."""
     def grams(df, key):
-        words = F.regexp_extract_all(F.lower("text"), F.lit(r"[^ \t\n]+"), 0)
-        windows = F.when(F.size("w") >= 8, F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.concat_ws(" ", F.slice("w", i, 8))))
-        return df.select(key, words.alias("w")).select(key, F.explode(F.array_distinct(windows)).alias("gram"))
+        words = df.select(key, F.explode(F.array(F.regexp_extract_all(F.lower("text"), F.lit(r"[^ \t\n]+"), 0))).alias("w")).where(F.size("w") >= 8)
+        windows = F.arrays_zip(*[F.slice("w", k + 1, F.size("w") - 7).alias(f"w{k}") for k in range(8)])  # a slice in a lambda would copy the array each time
+        hashed = F.transform(windows, lambda z: F.struct(F.xxhash64(*[z[f"w{k}"] for k in range(8)]).alias("h"), F.hash(*[z[f"w{k}"] for k in range(8)]).alias("c")))
+        return words.select(key, F.explode(hashed).alias("g")).select(key, "g.h", "g.c")
 
-    return grams(table(spark, sf_dir, "documents"), "doc_id").join(grams(table(spark, sf_dir, "benchmark"), "item_id"), "gram").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
+    items = grams(table(spark, sf_dir, "benchmark"), "item_id").distinct()
+    hits = grams(table(spark, sf_dir, "documents"), "doc_id").join(retrieval.few(items), ["h", "c"]).distinct()
+    return hits.groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"))
 
 
 @query()
@@ -273,12 +287,16 @@ def referential_integrity(spark, sf_dir):
 @query("""WITH s AS (SELECT user_id, event_id, epoch_us(ts) AS a, epoch_us(ts) + CAST(floor(value) AS BIGINT) * 60000000 AS b FROM events)
 SELECT x.event_id AS earlier, y.event_id AS later, least(x.b, y.b) - greatest(x.a, y.a) AS overlap_us FROM s x JOIN s y ON x.user_id = y.user_id AND (x.a < y.a OR x.a = y.a AND x.event_id < y.event_id) AND greatest(x.a, y.a) < least(x.b, y.b)""")
 def interval_overlap(spark, sf_dir):
-    """Half-open intervals of one user that overlap."""
+    """Half-open intervals of one user that overlap. The join is on user and day; a pair that shares several days is met in the first of them."""
+    day = 86_400_000_000
     s = table(spark, sf_dir, "events").select("user_id", "event_id", _micros().alias("a"), (_micros() + F.floor("value") * 60_000_000).alias("b"))
+    s = s.withColumn("from_day", F.floor(F.col("a") / day)).withColumn("day", F.explode(F.sequence("from_day", F.greatest("from_day", F.floor((F.col("b") - 1) / day)))))
     x, y = s.alias("x"), s.alias("y")
     first = (F.col("x.a") < F.col("y.a")) | ((F.col("x.a") == F.col("y.a")) & (F.col("x.event_id") < F.col("y.event_id")))
     a, b = F.greatest("x.a", "y.a"), F.least("x.b", "y.b")
-    return x.join(y, (F.col("x.user_id") == F.col("y.user_id")) & first & (a < b)).select(F.col("x.event_id").alias("earlier"), F.col("y.event_id").alias("later"), (b - a).alias("overlap_us"))
+    once = F.col("x.day") == F.greatest("x.from_day", "y.from_day")
+    met = x.join(y, (F.col("x.user_id") == F.col("y.user_id")) & (F.col("x.day") == F.col("y.day")) & once & first & (a < b))
+    return met.select(F.col("x.event_id").alias("earlier"), F.col("y.event_id").alias("later"), (b - a).alias("overlap_us"))
 
 
 @query("""SELECT event_id, user_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS anchor_id FROM events""")
