@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import lean
 from .components import contract
 
 LINKS = "a long, b long"
@@ -101,6 +102,7 @@ def _deal(low: int, radius: int, per: int):
         cut = lambda x, b: x[ends[b] - sizes[b] : ends[b]].tobytes()
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([cut(lows, b) for b in some], pa.binary()), pa.array([cut(fps, b) for b in some], pa.binary())], names=["bucket", "lows", "fps"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy()
@@ -135,6 +137,7 @@ def _meet(low: int, radius: int):
             a, b = contract(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:

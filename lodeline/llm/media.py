@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table, text_batches
 
 WIDTH = 192
 FRAME_ROWS = 8191
@@ -281,6 +281,7 @@ def _reduce(image: np.ndarray, rows: int, cols: int) -> np.ndarray:
 def store(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media) for every row of docs: the text's bytes as JPEG."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -288,7 +289,7 @@ def store(docs: DataFrame) -> DataFrame:
                 texts = part.column(1).to_pylist()
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([encode(payload_of(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def read_back(media: DataFrame) -> DataFrame:
@@ -301,6 +302,7 @@ def read_back(media: DataFrame) -> DataFrame:
         payload = b"".join(t.tobytes() for t in thumbs)
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(thumbs, sizes), len(sizes), sizes[0][0], sizes[0][1]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
         names = [x.split()[0] for x in FEATURES.split(", ")]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, small, table, worker_cache
+from .common import WORD, checkpoint, lean, small, table, text_batches, worker_cache
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -178,6 +178,7 @@ def _slots(given: list[tuple[int, int]], blocks: list[int], shard: int = SHARD):
             left = np.where((some == (slots - 1) % n) & (turn == (slots - 1) // n), leaves, 0)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), source, np.int32)), pa.array(found), pa.array(np.full(len(found), turn, np.int32)), pa.array(left)], names=["source_no", "block", "turn", "leaves"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("mixing", dict)  # drops what earlier stages keep
         for batch in batches:
@@ -273,6 +274,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     flat = joined.withColumn("__copy", copy).select("__doc.*", F.col("__copy.size").alias("__size"), F.col("__copy.spans").alias("__spans"))
     names, schema = docs.columns, docs.schema
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch_names = batch.schema.names
@@ -297,7 +299,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                 columns[at] = pa.array([len(x) for x in out], pa.int64()).cast(kept.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch_names[: len(names)])
 
-    return flat.mapInArrow(run, schema)
+    return text_batches(flat).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

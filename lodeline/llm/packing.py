@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpoint, table, worker_cache
+from .common import as_bytes, checkpoint, lean, table, text_batches, worker_cache
 from .tokens import public_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,7 +38,7 @@ SHARD = 8192
 #: Emptiest bins that the local search tries to dissolve at a time, and its rounds.
 DONORS, ROUNDS = 32, 8
 #: Words whose ids a worker keeps, and their bytes together.
-CACHE, CACHE_BYTES = 600_000, 1 << 25
+CACHE, CACHE_BYTES = 400_000, 1 << 24
 #: Latin letters and marks after them: the tokenizer parts them, so each is encoded once.
 LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+"
 ENDED = re.compile(rb"(" + LETTERS + rb")([.,;:!?*#$%&|]+)")
@@ -186,6 +186,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end:
     """One row per piece of each document; with keep_ids also ids, little-endian unsigned 32-bit."""
     stop = np.array([end], "<u4").tobytes()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = ids_of(path or public_path(TOKENIZER))
         for batch in batches:
@@ -202,7 +203,7 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH, end:
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("data")).mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("data")).mapInArrow(run, PIECES + (", ids binary" if keep_ids else ""))
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

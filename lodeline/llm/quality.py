@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, as_bytes, table
+from .common import SPACES, as_bytes, lean, table, text_batches
 
 SYMBOLS = b"#*$%&|<>"
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -90,6 +90,7 @@ def measure(data: bytes) -> tuple[int, ...]:
     )
 
 
+@lean
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [measure(x.as_py()) for x in batch.column(1)]
@@ -100,7 +101,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def ledger(docs: DataFrame) -> DataFrame:
     """(doc_id, MEASURES, failures): one bit per failed rule."""
     schema = ", ".join(["doc_id long", *(f"{m} long" for m in MEASURES)])
-    measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("data")).mapInArrow(_measure, schema)
+    measured = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("data")).mapInArrow(_measure, schema)
     bits = " | ".join(f"if({sql}, {1 << i}L, 0L)" for i, sql in enumerate(RULES.values()))
     return measured.withColumn("failures", F.expr(bits))
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FINGERPRINT_WORDS, as_bytes, checkpoint, small, table, worker_cache
+from .common import FINGERPRINT_WORDS, as_bytes, checkpoint, lean, small, table, text_batches, worker_cache
 from .components import components
 from .hamming import ball_links
 
@@ -60,6 +60,7 @@ def fingerprint(data: bytes, n: int = FINGERPRINT_WORDS) -> int:
     return int(np.packbits(counts * 2 > len(parts), bitorder="little").view(np.uint64)[0])
 
 
+@lean
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker_cache("simhash", dict)  # drops what earlier stages keep
     for batch in batches:
@@ -69,7 +70,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long) for every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("data")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes().alias("data")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, worker_cache
+from .common import lean, table, text_batches, worker_cache
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -106,6 +106,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
     path: the model's file, present on every executor; None: the public one.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = merger(path or public_path(MODEL)).count
         for batch in batches:
@@ -116,7 +117,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
                 counts.append(count(text))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

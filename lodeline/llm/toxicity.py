@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, table, worker_cache
+from .common import as_bytes, lean, table, text_batches, worker_cache
 
 BITS = 20
 SAMPLE = 20_000
@@ -38,7 +38,7 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.1
 FOLDS = 5
 #: Words whose hashes a worker keeps, and the bytes of the longest.
-CACHE, LONGEST = 300_000, 64
+CACHE, LONGEST = 200_000, 64
 #: Bytes of features that are trained on; documents of the sample beyond them are left out.
 SAMPLE_BYTES = 1 << 27
 
@@ -125,6 +125,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "rank").agg(F.min("data").alias("data")).select("data", "toxic", "rank", "doc_id")  # broadcasts at most `sample` rows
 
 
+@lean
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [features(x.as_py()).tobytes() for x in batch.column(0)]
@@ -144,6 +145,7 @@ def bounded(batches: Iterator[pa.RecordBatch], most: int = SAMPLE_BYTES) -> list
     return rows
 
 
+@lean
 def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = bounded(batches)
     for _ in batches:  # what is beyond the bound is read to the end
@@ -155,7 +157,7 @@ def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """index and weight of the nonzero weights; empty if no label can be used."""
-    rows = training_rows(docs, labels, sample).mapInArrow(_featurise, "found binary, toxic int, rank long, doc_id long")
+    rows = text_batches(training_rows(docs, labels, sample)).mapInArrow(_featurise, "found binary, toxic int, rank long, doc_id long")
     model = rows.repartition(1).sortWithinPartitions("rank", "doc_id").mapInArrow(_train_task, "index long, weight double").toArrow()  # at most 2**BITS + 1 rows
     return {"index": model["index"].to_numpy(), "weight": model["weight"].to_numpy()} if model.num_rows else {}
 
@@ -179,6 +181,7 @@ def scores(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
         for batch in batches:
@@ -186,7 +189,7 @@ def scores(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array([int(s >= 0.5) for s in found], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
     fold = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % FOLDS == 0
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold, F.lit(False)).alias("held_out"), as_bytes().alias("data"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold, F.lit(False)).alias("held_out"), as_bytes().alias("data"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -195,13 +198,14 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     at = docs.columns.index("text")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
         for batch in batches:
             keep = [score((x.as_py() or "").encode()) < 0.5 for x in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
