@@ -56,17 +56,15 @@ def _reading(bce: bool, precision: str):
 
 def readings(text: Column) -> Column:
     """Distinct (start, end, precision) of the explicit ranges, then of the years outside them."""
-    found, rest = [], text
+    either = lambda patterns: "|".join(f"(?:{p})" for p in patterns)
     take = lambda source, pattern, group=1: F.regexp_extract_all(source, F.lit(f"(?i){pattern}"), group)
-    for pattern, bce in RANGES:
-        found.append(F.zip_with(take(text, pattern), take(text, pattern, 2), _reading(bce, "YEAR_RANGE")))
-        rest = F.regexp_replace(rest, f"(?i){pattern}", READ)
-    rest = F.regexp_replace(rest, f"(?i){RANGE_LIKE}", READ)
+    found = [F.zip_with(take(text, pattern), take(text, pattern, 2), _reading(bce, "YEAR_RANGE")) for pattern, bce in RANGES]
+    outside = F.regexp_replace(text, f"(?i){either([p for p, _ in RANGES])}|{RANGE_LIKE}", READ)
+    exact = F.regexp_replace(outside, f"(?i){APPROXIMATE}(?:{either([p for p, _ in YEARS])})", READ)
     for pattern, bce in YEARS:
-        for form, precision in ((APPROXIMATE + pattern, "APPROXIMATE"), (pattern, "YEAR")):
-            years = take(rest, form)
+        for source, form, precision in ((outside, APPROXIMATE + pattern, "APPROXIMATE"), (exact, pattern, "YEAR")):
+            years = take(source, form)
             found.append(F.zip_with(years, years, _reading(bce, precision)))
-            rest = F.regexp_replace(rest, f"(?i){form}", READ)
     every = F.filter(F.array_distinct(F.concat(*[x.cast(_READING) for x in found])), lambda r: (r["start"] != 0) & (r["end"] != 0))
     return F.when(text.isNotNull(), every).otherwise(F.array().cast(_READING))
 
