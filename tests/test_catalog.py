@@ -49,7 +49,7 @@ def test_points_equal_sql_to_the_last_bit(spark, sf_dir, duck):
     assert found == sorted(duck.execute(f"SELECT * FROM {catalog._points_sql('customer', 'c_custkey')}").fetchall())
 
 
-@pytest.mark.parametrize("name", ["points_in_polygons"])
+@pytest.mark.parametrize("name", ["points_in_polygons", "segments_on_land"])
 def test_borders_equal_sql(spark, sf_dir, name):
     """Points on borders, of which the smaller tables have few."""
     folder = sf_dir.replace("0.001", "0.1")
