@@ -736,6 +736,22 @@ def test_dense_blocks_give_few_links(spark, monkeypatch):
         assert {r.doc_id for r in lines.dedup_lines(docs).collect() if not r.text} == want and len(want) >= 12
 
 
+def test_a_line_meets_a_large_group_side_by_side(monkeypatch):
+    """A lone line beside a large group is compared with many at a time, and hopeless comparisons stop early with the same verdicts."""
+    rnd, calls, real = random.Random(4), [], lines.similar
+    made = [" ".join(["common words of one passage"] * 4) + f" x{i}" for i in range(60)]
+    lone = "".join(rnd.choice("mnopqrst ") for _ in range(len(made[-1])))
+    monkeypatch.setattr(lines, "similar", lambda a, b: calls.append(1) or real(a, b))
+    assert lines.across([*made, lone], np.array([0] * 60 + [60]), np.zeros(61, int), -1) == [] and len(calls) <= 1
+    assert lines.across([*made, made[0] + "y"], np.array([0] * 60 + [60]), np.zeros(61, int), -1) != []
+    for _ in range(300):
+        a = "".join(rnd.choice("abcé") for _ in range(rnd.choice([32, 50])))
+        others = ["".join(rnd.choice("abc") if rnd.random() < share else c for c in a) for share in (0.1, 0.3, 0.9)] + ["", "abc"]
+        limits = np.array([rnd.randrange(25) for _ in others])
+        for exact, found, most in zip(lines.distances(a, others), lines.distances(a, others, limits), limits.tolist()):
+            assert found == exact or min(found, exact) > most
+
+
 def test_lines_defined_cases(docs, rows, no_docs):
     found = lines.dedup_lines(docs, counts=True)
     assert found.columns == [*docs.columns, "__lines", "__removed"]
