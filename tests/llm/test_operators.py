@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -752,6 +753,39 @@ def test_a_line_meets_a_large_group_side_by_side(monkeypatch):
             assert found == exact or min(found, exact) > most
 
 
+def test_pairs_are_judged_together_as_one_by_one(monkeypatch):
+    """Columns of many pairs at a time give the verdicts of plain distances, at every length and over words of 64 rows."""
+    rnd, pairs = random.Random(5), []
+    for _ in range(700):
+        a = "".join(rnd.choice("abcdé日 ") for _ in range(rnd.choice([0, 1, 5, 63, 64, 65, 128, 130, 300])))
+        share = rnd.choice([0.02, 0.1, 0.2, 0.3, 0.9])
+        b = "".join(rnd.choice(["", "x", "ab", "c"]) if rnd.random() < share else c for c in a)
+        pairs.append((a, b) if rnd.random() < 0.5 else (b, a))
+    limits = np.array([max(lines.most_edits(a, b), abs(len(a) - len(b))) for a, b in pairs])
+    want = [slow_distance(a, b) <= most for (a, b), most in zip(pairs, limits.tolist())]
+    assert 100 < sum(want) < 600
+    for long in (lines.LONG, 100):
+        monkeypatch.setattr(lines, "LONG", long)
+        assert lines.within(pairs, limits).tolist() == want
+    assert lines._columns(pairs, limits).tolist() == want
+
+
+def test_lines_that_share_keys_are_compared_once(monkeypatch):
+    """Two lines that share several keys are compared for the least of them, and in no other task."""
+    calls, real = [], lines.within
+    monkeypatch.setattr(lines, "within", lambda pairs, limits: calls.extend(pairs) or real(pairs, limits))
+    rnd = random.Random(2)
+    made = ["".join(rnd.choice("abcdefgh ") for _ in range(90)) for _ in range(3)]
+    made.append(made[2] + "x")
+    for few in (lines.FEW_LINES, 1):
+        monkeypatch.setattr(lines, "FEW_LINES", few)
+        rows = [(k, 0, 0, 0, h, -1, h, x, list(range(k))) for k in range(4) for h, x in enumerate(made)]
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)][:8] + [pa.array([r[8] for r in rows], pa.list_(pa.int64()))], names=[*"abcdefghi"])
+        calls.clear()
+        found = [sorted(x) for b in lines._across(iter([batch])) for x in zip(*b.to_pydict().values())]
+        assert found == [[2, 3]] and len(calls) == 6
+
+
 def test_lines_defined_cases(docs, rows, no_docs):
     found = lines.dedup_lines(docs, counts=True)
     assert found.columns == [*docs.columns, "__lines", "__removed"]
