@@ -786,6 +786,29 @@ def test_lines_that_share_keys_are_compared_once(monkeypatch):
         assert found == [[2, 3]] and len(calls) == 6
 
 
+def test_lines_that_agree_only_beyond_the_first_blocks(make_docs):
+    """Pairs of 0.8 and more that share none of keyed_lines' own keys: edits in each of a long line's first blocks, one long word."""
+    rnd, word = random.Random(12), lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(6, 10)))
+    pairs = []
+    while len(pairs) < 3:
+        ws = [word() for _ in range(400)]
+        level = max(k for k in range(40) if 1.5 * 2**k <= len(ws) - 1)
+        at = [(slow_mix(slow_words(a.encode())[0][0] * 3 + slow_words(b.encode())[0][0] & M64) >> 64 - level) for a, b in zip(ws, ws[1:])]
+        other = [*ws]
+        for number in range(16):
+            for k in [i for i, x in enumerate(at) if x == number][:1]:
+                other[k] = ws[k][:-1] + "z"
+        a, b = " ".join(ws), " ".join(other)
+        if not slow_keys(a.encode()) & slow_keys(b.encode()):
+            pairs.append((a, b))
+    long = "".join(rnd.choice("abcdefghijklmnop") for _ in range(60))
+    pairs.append((long, long[:20] + "zz" + long[21:50] + long[51:]))
+    assert all(lines.similar(a, b) and not slow_keys(a.encode()) & slow_keys(b.encode()) for a, b in pairs)
+    texts = [t for pair in pairs for t in pair]
+    kept = {r.doc_id for r in lines.dedup_lines(make_docs([(i, t, "s") for i, t in enumerate(texts)])).collect() if r.text}
+    assert kept == {2 * i for i in range(len(pairs))}
+
+
 def test_lines_defined_cases(docs, rows, no_docs):
     found = lines.dedup_lines(docs, counts=True)
     assert found.columns == [*docs.columns, "__lines", "__removed"]
