@@ -38,7 +38,7 @@ SHARD = 8192
 #: Emptiest bins that the local search tries to dissolve at a time, and its rounds.
 DONORS, ROUNDS = 32, 8
 #: Words whose ids a worker keeps, and their bytes together.
-CACHE, CACHE_BYTES = 400_000, 1 << 24
+CACHE, CACHE_BYTES = 200_000, 1 << 23
 #: Latin letters and marks after them: the tokenizer parts them, so each is encoded once.
 LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+"
 ENDED = re.compile(rb"(" + LETTERS + rb")([.,;:!?*#$%&|]+)")
@@ -154,7 +154,7 @@ class Ids:
         self.put(np.arange(len(words)), ids, sizes)
         self.seen[: len(words)] = seen // 2
 
-    def batches(self, texts: list[bytes], most: int = 1 << 20) -> Iterator[bytes]:
+    def batches(self, texts: list[bytes], most: int = 1 << 18) -> Iterator[bytes]:
         """Ids of each text. White space parts the tokenizer's words, so runs between it
         are encoded apart; A-Z are lower-cased first, as the tokenizer does itself, but
         for texts that may hold a special token."""

@@ -285,6 +285,20 @@ def test_ids_of_odd_texts():
         assert np.frombuffer(got, "<u4").tolist() == tk.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_packing_workers_hold_few_words_and_texts(spark):
+    from itertools import islice, product
+
+    from lodeline.llm.common import text_batches
+
+    words = ["".join(x) for x in islice(product("abcdefghijklm", repeat=5), 300_000)]
+    coder = packing.Ids(tokens.public_path(packing.TOKENIZER))
+    found = list(coder.batches([" ".join(words[at : at + 20_000]).encode() for at in range(0, len(words), 20_000)]))
+    assert len(found) == 15 and all(found) and len(coder.index) < 250_000
+    session = spark.newSession()
+    text_batches(session.range(1))
+    assert int(session.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+
+
 def test_local_search_never_worse_and_whole():
     rnd = random.Random(4)
     for sizes in ([400, 650, 700, 900, 1024], range(1, 2048), [2047, 1, 2], [2048]):
