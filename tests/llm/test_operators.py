@@ -784,6 +784,23 @@ def test_pairs_are_judged_together_as_one_by_one(monkeypatch):
     assert lines._columns(pairs, limits).tolist() == want
 
 
+def test_long_lines_compare_together_in_narrow_bands(monkeypatch):
+    rnd, plain, pairs = random.Random(12), lines.edit_distance, []
+    for i in range(120):
+        a = "".join(rnd.choice("abcde ") for _ in range(rnd.randrange(2200, 2600) if i % 2 else rnd.randrange(60, 200)))
+        cut, edits = rnd.choice([0, len(a) // 10, len(a) // 5, len(a) // 4]), rnd.randrange(1 + len(a) // 8)
+        b = list(rnd.choice([a[cut:], a[: len(a) - cut], a[: len(a) // 2] + a[len(a) // 2 + cut :]]))
+        for _ in range(edits):
+            b[rnd.randrange(len(b))] = rnd.choice("abcde ")
+        pairs.append(rnd.choice([(a, "".join(b)), ("".join(b), a)]))
+    limits = np.array([lines.most_edits(a, b) for a, b in pairs])
+    pairs, limits = zip(*[(p, n) for p, n in zip(pairs, limits, strict=True) if abs(len(p[0]) - len(p[1])) <= n], strict=True)
+    want = [plain(a, b, n) <= n for (a, b), n in zip(pairs, limits, strict=True)]
+    assert {*want} == {True, False}
+    monkeypatch.setattr(lines, "edit_distance", None)  # one at a time costs about ten times as much
+    assert lines.within([*pairs], np.array(limits)).tolist() == want
+
+
 def test_lines_that_share_keys_are_compared_once(monkeypatch):
     """Two lines that share several keys are compared for the least of them, and in no other task."""
     calls, real = [], lines.within
