@@ -801,6 +801,24 @@ def test_long_lines_compare_together_in_narrow_bands(monkeypatch):
     assert lines.within([*pairs], np.array(limits)).tolist() == want
 
 
+def test_pairs_of_all_lengths_are_judged_side_by_side(monkeypatch):
+    """Few pairs of each length need no comparison of their own, and lanes that are given anew keep their verdicts."""
+    rnd, plain, pairs = random.Random(21), lines.edit_distance, []
+    for i in range(90):
+        a = "".join(rnd.choice("abcdefé日 ") for _ in range(100 + 40 * i))
+        share = rnd.choice([0.05, 0.17, 0.2, 0.24, 0.6])
+        b = "".join(rnd.choice(["", "x", "ab", "c"]) if rnd.random() < share else c for c in a)
+        pairs.append(rnd.choice([(a, b), (b, a)]))
+    limits = np.array([max(lines.most_edits(a, b), abs(len(a) - len(b))) for a, b in pairs])
+    want = [plain(a, b, n) <= n for (a, b), n in zip(pairs, limits.tolist())]
+    assert 20 < sum(want) < 80
+    monkeypatch.setattr(lines, "edit_distance", None)
+    for abreast, room in ((lines.ABREAST, lines.ROOM), (7, lines.ROOM), (lines.ABREAST, 1 << 14)):
+        monkeypatch.setattr(lines, "ABREAST", abreast)
+        monkeypatch.setattr(lines, "ROOM", room)
+        assert lines.within(pairs, limits).tolist() == want
+
+
 def test_lines_that_share_keys_are_compared_once(monkeypatch):
     """Two lines that share several keys are compared for the least of them, and in no other task."""
     calls, real = [], lines.within
