@@ -819,6 +819,20 @@ def test_pairs_of_all_lengths_are_judged_side_by_side(monkeypatch):
         assert lines.within(pairs, limits).tolist() == want
 
 
+def test_repeated_lines_are_cut_into_blocks_once(monkeypatch):
+    """Only lines that a task meets anew are given keys, those of keyed_lines(); fetched lines have the ledger's normal form."""
+    cut, real = [], lines.blocks
+    monkeypatch.setattr(lines, "blocks", lambda words, sizes, counts, *rest: cut.append(int((counts > 0).sum())) or real(words, sizes, counts, *rest))
+    text = "\n".join(" ".join(f"{c}{i}word" for i in range(20)) for c in "xy").encode()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([7, 7, 7]), pa.array([text, text, b"...\n" + text])], names=[*"abc"])
+    packet = [x for b in lines._write_ledger(iter([batch])) for x in b.column(3).to_pylist() if x]
+    keys = lines.keyed_lines(text.translate(lines.TO) + b"\n", True)[1]
+    assert cut[0] == 2 and len(packet) == 1 and packet[0][:4] == b"\2\0\0\0"
+    assert sorted(np.frombuffer(packet[0], "<u8", -1, 4 + 12 * 2).tolist()) == sorted(keys.tolist())
+    odd = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["A-b  É 12!".encode(), b""])], names=[*"ab"])
+    assert next(lines._normalise(iter([odd]))).column(1).to_pylist() == ["a b É 00".encode(), b""]
+
+
 def test_lines_that_share_keys_are_compared_once(monkeypatch):
     """Two lines that share several keys are compared for the least of them, and in no other task."""
     calls, real = [], lines.within
