@@ -872,6 +872,27 @@ def test_lines_that_agree_only_beyond_the_first_blocks(make_docs):
     assert kept == {2 * i for i in range(len(pairs))}
 
 
+def test_lines_beyond_the_broadcast_limit_are_not_sorted(make_docs, monkeypatch):
+    """Where the wanted and the marked lines are too many to broadcast, all lines meet them in hash tables and give one place each without a sort."""
+    rng, words = random.Random(7), [f"w{i}rd" for i in range(300)]
+    texts = ["\n".join(" ".join(rng.choices(words, k=12)) for _ in range(6)) for _ in range(30)]
+    texts += [t.replace("w1", "v1", 1) for t in texts[:20]]
+    docs, plans = make_docs([(i, t, "s") for i, t in enumerate(texts)]), []
+    want = sorted(map(tuple, lines.dedup_lines(docs, counts=True).collect()))
+    monkeypatch.setattr(lines.small, "__defaults__", (0, *lines.small.__defaults__[1:]))
+    real = lines.checkpoint
+
+    def spy(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(lines, "checkpoint", spy)
+    assert sorted(map(tuple, lines.dedup_lines(docs, counts=True).collect())) == want and any(r[-1] for r in want)
+    places = [p for p in plans if "collect_list(" in p and "first(" in p]
+    assert len(places) == 1 and "SortAggregate" not in places[0] and "ShuffledHashJoin" in places[0]
+    assert sum("ShuffledHashJoin [h" in p for p in plans) == 2 and sum("ShuffledHashJoin [root" in p for p in plans) == 1
+
+
 def test_lines_defined_cases(docs, rows, no_docs):
     found = lines.dedup_lines(docs, counts=True)
     assert found.columns == [*docs.columns, "__lines", "__removed"]
